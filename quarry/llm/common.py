@@ -64,3 +64,20 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows: in
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def most_frequent(counts: DataFrame, value: str, limit: int) -> DataFrame:
+    """Rows of (value, n) with n at least as large as keeps them to ``limit`` rows: all or none of those with the same
+    n. The cut comes from the histogram of n, so no task sends its own top rows."""
+    kinds = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    running = kinds.where("n >= 64").withColumn("upto", F.sum("rows").over(W.orderBy(F.desc("n")).rangeBetween(W.unboundedPreceding, 0)))
+    low = kinds.where("n < 64").groupBy("n").agg(F.sum("rows").alias("rows")).collect()
+    least = running.where(F.col("upto") <= limit).agg(F.min("n"), F.max("upto")).first()
+    over = running.where(F.col("upto") > limit).limit(1).count()
+    cut, upto = (least[0], least[1]) if least[0] is not None else (1 << 62, 0)
+    if not over:  # all counts from 64 on fit: go on below
+        for r in sorted(low, key=lambda r: -r["n"]):
+            if upto + r["rows"] > limit:
+                break
+            cut, upto = r["n"], upto + r["rows"]
+    return counts.where(F.col("n") >= cut).select(value, "n")
