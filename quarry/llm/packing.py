@@ -11,35 +11,70 @@ Null text: one id (the end). Empty table: no rows. Repeated rows: packed as docu
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import ranked, written
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
+#: The word pattern of the vocabulary, of lower-cased text; white space spelt out as Unicode has it.
+_WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+"
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+"
 
 
 class WordIds(dict):
-    """White-space word to its ids as little-endian bytes. The tokenizer drops white space and no merge crosses it,
-    so a text's ids are those of its words one after the other."""
+    """Word of the tokenizer's pattern to its ids as little-endian bytes. The tokenizer drops white space and no merge
+    crosses a word, so a text's ids are those of its words one after the other. New words are encoded many at a time:
+    the last id of each is of a kind that ends words."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+
+    def split(self, text: str) -> list[str] | None:
+        """The text's words; None where the library alone is to say."""
+        if any(s in text for s in self.special):
+            return None
+        if text.isascii():
+            return self.ascii_words(text.lower())
+        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return None
+        return self.words(text.lower())
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         if len(self) + len(words) > WORDS_KEPT:
             self.clear()
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(run):
+                for w in run:
+                    self[w] = self.whole(w)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(run, (4 * cuts).tolist(), strict=True):
+                self[w] = raw[a:b]
+                a = b
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -55,18 +90,19 @@ def pieces_of(docs: DataFrame, vocabulary: str, width: int, end_id: int) -> Data
         if vocabulary not in _tokenizers:
             _tokenizers[vocabulary] = WordIds(vocabulary)
         known = _tokenizers[vocabulary]
-        split, end, step = re.compile(r"[^\x20\t-\r]+").findall, np.asarray([end_id], "<u4").tobytes(), 4 * width
+        end, step = np.asarray([end_id], "<u4").tobytes(), 4 * width
         for b in rows:
             out = ([], [], [], [], [])
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                texts = [split(t or "") for t in part.column(1).to_pylist()]
-                new = list(set().union(*texts).difference(known))
+                raw = [t or "" for t in part.column(1).to_pylist()]
+                texts = [known.split(t) for t in raw]
+                new = list(set().union(*filter(None, texts)).difference(known))
                 for i in range(0, len(new), WORDS_KEPT // 2):
                     known.learn(new[i : i + WORDS_KEPT // 2])
-                for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
+                for doc, text, words in zip(part.column(0).to_pylist(), raw, texts, strict=True):
                     try:
-                        ids = b"".join(map(known.__getitem__, words)) + end
+                        ids = (known.whole(text) if words is None else b"".join(map(known.__getitem__, words))) + end
                     except KeyError:  # the table of words was emptied since
                         ids = b"".join(_slowly(known, words)) + end
                     for s in range(0, len(ids), step):
