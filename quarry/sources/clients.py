@@ -1,0 +1,17 @@
+"""What stands outside: pages and models behind small interfaces, so that jobs run on recorded answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def fetch_offline(frontier: DataFrame, pages: DataFrame) -> DataFrame:
+    """A left join with a table of pages; a page that is not there failed for good."""
+    got = frontier.join(pages.select("url", "html"), "url", "left")
+    return got.withColumn("status", F.when(F.col("html").isNull(), "ERROR").otherwise("DOWNLOADED")).withColumn("response_status", F.when(F.col("html").isNull(), 404).otherwise(200))
+
+
+def complete_recorded(calls: DataFrame, recorded: DataFrame) -> DataFrame:
+    """calls: call_site, payload; recorded: digest, answer, input_tokens, output_tokens."""
+    digest = F.sha2(F.concat_ws("\u0001", "call_site", "payload"), 256)
+    return calls.withColumn("digest", digest).join(recorded, "digest", "left")
