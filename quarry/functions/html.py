@@ -115,6 +115,11 @@ def simplified(html: str | None, selector: str | None = None) -> tuple[str | Non
     return (None, "ContentSelectorError") if selector and not text else (text, None)
 
 
-@F.pandas_udf("markdown string, error string")
-def markdown(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([simplified(h) for h in html], columns=["markdown", "error"])
+def markdown():
+    """A column function: html to (markdown, error)."""
+
+    def batch(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([simplified(h) for h in html], columns=["markdown", "error"])
+
+    batch.__annotations__ = {"html": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(batch, "markdown string, error string")

@@ -39,6 +39,11 @@ def rule_for(robots: dict, agent: str = "*") -> dict | None:
     return exact[0] if exact and agent != "*" else next((r for r in reversed(robots["rules"]) if r["agent"] == "*"), None)
 
 
-@F.pandas_udf(SCHEMA)
-def parsed(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(t) for t in text], columns=["rules", "sitemaps"])
+def parsed():
+    """A column function: the text of a robots.txt to its rules and sitemaps."""
+
+    def batch(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(t) for t in text], columns=["rules", "sitemaps"])
+
+    batch.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(batch, SCHEMA)

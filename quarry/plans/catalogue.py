@@ -1,4 +1,376 @@
 """The query catalogue: operators applied to tables, and the SQL that they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from quarry.functions import html, robots, text
+from quarry.functions.ordering import key
+from quarry.operators import relational as rel
+from quarry.plans import crawl
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Dollars per million tokens, input and output.
+PRICES = (("gpt-5.4", 2.5, 15.0), ("gpt-5.4-mini", 0.75, 4.5), ("gpt-5.4-nano", 0.2, 1.25), ("gpt-5", 1.25, 10.0), ("gpt-5-nano", 0.05, 0.4), ("gpt-4o", 2.5, 10.0), ("o3-mini", 1.1, 4.4), ("gpt-4.1", 2.0, 8.0), ("o4-mini", 1.1, 4.4))
+ROBOTS = "User-agent: *\nDisallow: /en/\nDisallow: /*.html$\nAllow: /en/9\nCrawl-delay: 5\n"
+HOST = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        k = name or f.__name__
+        QUERIES[k] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE_SQL[k] = sql
+        return f
+
+    return add
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_name ILIKE '%1%' OR c_mktsegment ILIKE '%x%')")
+def a01_filtered_count(t):
+    return rel.where(t.customer, F.col("c_mktsegment") == "BUILDING", F.col("c_name").ilike("%1%") | F.col("c_mktsegment").ilike("%x%")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
+def a14_count_in_range(t):
+    return rel.where(t.orders, F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def a05_recent_topk(t):
+    return rel.page(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")), [F.desc("o_orderdate"), F.col("o_orderkey")], 10).select("o_orderkey", "c_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20 OFFSET 40")
+def a07_items_page(t):
+    return rel.page(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], 20, 40).select("l_orderkey", "l_linenumber", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate, o_orderkey LIMIT 20")
+def a18_valid_pages(t):
+    return rel.page(t.orders.where(F.col("o_orderstatus").isin("O", "P")), [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def a20_latest_per_parent(t):
+    return rel.latest(t.orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+_LINKS = f"SELECT DISTINCT {HOST} || l AS link FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS l FROM pages)"
+
+
+@query(f"SELECT link FROM ({_LINKS}) WHERE link NOT IN (SELECT regexp_replace(url, '^https?://', '') FROM pages)")
+def a22_unvisited_links(t):
+    found = t.pages.select(F.expr(HOST).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("l")).select(F.concat("host", "l").alias("link")).distinct()
+    return found.join(t.pages.select(F.regexp_replace("url", "^https?://", "").alias("link")), "link", "left_anti")
+
+
+@query("SELECT o_orderkey, coalesce(c_name, 'System') AS actor FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey")
+def a23_system_actor(t):
+    return t.orders.join(t.customer.where("c_custkey % 3 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("System")).alias("actor"))
+
+
+_SORTS = {"date": ("o_orderdate", "desc"), "status": ("array_position(array('O', 'P', 'F'), o_orderstatus)", "asc"), "catalogue": ("c_name", "asc"), "type": ("c_mktsegment", "desc"), "items": ("items_count", "desc"), "cost": ("o_totalprice", "desc")}
+for _name, (_key, _order) in _SORTS.items():
+
+    @query(
+        f"""SELECT o_orderkey, c_name, n_name, coalesce(n, 0) AS items_count FROM orders
+        LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+        LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+        ORDER BY {_key.replace("array(", "list_value(").replace("items_count", "coalesce(n, 0)")} {_order} NULLS {"LAST" if _order == "asc" else "FIRST"}, o_orderkey LIMIT 20 OFFSET 20""",
+        f"a30_list_sorted_{_name}",
+    )
+    def a30_list_sorted(t, k=_key, order=_order):
+        listed = rel.with_count(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "items_count").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        return rel.page(listed, [key(F.expr(k), order), F.col("o_orderkey")], 20, 20).select("o_orderkey", "c_name", "n_name", "items_count")
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL")
+def a31_parent_with_child_count(t):
+    return rel.with_count(t.nation, t.customer, "n_nationkey", "c_nationkey", "customers").select("n_nationkey", "n_name", "customers")
+
+
+_DOMAINS = ("example.com", "blog.example.com", "ththre.example.com", "example.org", "ample.net")
+
+
+@query(f"""SELECT page_id, host, domain, CASE WHEN host = domain THEN 3 WHEN host LIKE '%.' || domain OR domain LIKE '%.' || host THEN 2 WHEN contains(host, domain) THEN 1 ELSE 0 END AS score
+    FROM (SELECT page_id, {HOST} AS host FROM pages), (SELECT unnest({list(_DOMAINS)}) AS domain)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(domain) DESC, domain) = 1""")
+def a32_domain_rank(t):
+    hosts = t.pages.select("page_id", F.expr(HOST).alias("host"))
+    scored = F.transform(F.array(*map(F.lit, _DOMAINS)), lambda d: F.struct((-text.domain_match(d, F.col("host"))).alias("s"), (-F.length(d)).alias("l"), d.alias("domain")))
+    best = F.array_min(scored)
+    return hosts.select("page_id", "host", best["domain"].alias("domain"), (-best["s"]).alias("score"))
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_orderstatus = 'F' GROUP BY 1")
+def a33_page_item_counts(t):
+    return rel.with_count(t.orders.where("o_orderstatus = 'F'"), t.lineitem.where("l_returnflag = 'R'"), "o_orderkey", "l_orderkey", "items").select("o_orderkey", "items")
+
+
+@query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events WHERE user_id = (SELECT max(user_id) FROM events) OR user_id IS NULL GROUP BY 1")
+def a34_call_summary(t):
+    last = t.events.agg(F.max("user_id").alias("last"))
+    return t.events.join(F.broadcast(last)).where("user_id = last or user_id is null").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def a35_failed_or_empty(t):
+    failed = t.orders.where("o_orderstatus = 'P'").select("o_orderkey")
+    empty = t.orders.where("o_orderstatus in ('O', 'F')").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+    return failed.union(empty).distinct()
+
+
+_STATS = """SELECT o_orderpriority AS step, count(*) AS total, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS attempted, count(*) FILTER (o_orderstatus = 'F') AS succeeded,
+    count(*) FILTER (o_orderstatus = 'F' AND n > 0) AS extracted, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN n END), 0)::BIGINT AS items
+    FROM (SELECT orders.*, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1"""
+
+
+def stats(t):
+    o = rel.with_count(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "n")
+    done = F.col("o_orderstatus") == "F"
+    return o.groupBy(F.col("o_orderpriority").alias("step")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus").isin("F", "P")).alias("attempted"), F.count_if(done).alias("succeeded"), F.count_if(done & (F.col("n") > 0)).alias("extracted"), F.coalesce(F.sum(F.when(done, F.col("n"))), F.lit(0)).alias("items"))
+
+
+@query(_STATS)
+def a37_completion_stats(t):
+    return stats(t)
+
+
+_MODELS = "(SELECT *, CASE event_type WHEN 'view' THEN 'gpt-4o' WHEN 'click' THEN 'o3-mini' ELSE 'gpt-5' END AS model FROM events)"
+
+
+@query(f"""SELECT model, round(sum(value / 1e6 * p_in + user_id / 1e6 * p_out), 6) AS cost FROM {_MODELS} JOIN (VALUES {", ".join(map(str, PRICES))}) AS p(name, p_in, p_out) ON model = name GROUP BY 1""")
+def a38_cost(t):
+    prices = t.spark.createDataFrame(PRICES, "model string, p_in double, p_out double")
+    model = F.when(F.col("event_type") == "view", "gpt-4o").when(F.col("event_type") == "click", "o3-mini").otherwise("gpt-5")
+    return t.events.withColumn("model", model).join(F.broadcast(prices), "model").groupBy("model").agg(F.round(F.sum(F.col("value") / 1e6 * F.col("p_in") + F.col("user_id") / 1e6 * F.col("p_out")), 6).alias("cost"))
+
+
+@query("""SELECT c_custkey, n_name, coalesce(n, 0) AS uses, last FROM customer JOIN nation ON c_nationkey = n_nationkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey
+    WHERE c_mktsegment = 'MACHINERY' AND c_name ILIKE '%2%' ORDER BY c_custkey LIMIT 50""")
+def a39_template_search(t):
+    uses = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("uses"), F.max("o_orderdate").alias("last"))
+    found = rel.where(t.customer, F.col("c_mktsegment") == "MACHINERY", F.col("c_name").ilike("%2%")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(uses, "c_custkey", "left")
+    return rel.page(found, [F.col("c_custkey")], 50).select("c_custkey", "n_name", F.coalesce("uses", F.lit(0)).alias("uses"), "last")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0 ORDER BY 1 LIMIT 10 OFFSET 2)")
+def a40_semi_page(t):
+    ids = rel.page(t.customer.where("c_acctbal > 0").select(F.col("c_nationkey").alias("n_nationkey")).distinct(), [F.col("n_nationkey")], 10, 2)
+    return t.nation.join(ids, "n_nationkey", "left_semi").select("n_nationkey", "n_name")
+
+
+@query(f"SELECT step, CASE WHEN total > 0 THEN floor(attempted / total * 100) ELSE 0 END::BIGINT AS downloads_pct, CASE WHEN succeeded > 0 THEN floor(extracted / succeeded * 100) ELSE 0 END::BIGINT AS extractions_pct, items FROM ({_STATS})")
+def a43_progress_pct(t):
+    return stats(t).select("step", text.percent(F.col("attempted"), F.col("total")).alias("downloads_pct"), text.percent(F.col("extracted"), F.col("succeeded")).alias("extractions_pct"), "items")
+
+
+for _name, _order in {"expensive": "o_totalprice DESC", "most": "n DESC", "least": "n ASC"}.items():
+
+    @query(f"""SELECT o_orderkey, n FROM (SELECT *, row_number() OVER (ORDER BY {_order}, o_orderkey) AS r, count(*) OVER () AS total
+        FROM (SELECT orders.*, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')) WHERE r <= ceil(total * 3 / 100.0)""", f"a50_sample_{_name}")
+    def a50_sample(t, order=_order):
+        base = rel.with_count(t.orders.where("o_orderstatus = 'F'"), t.lineitem, "o_orderkey", "l_orderkey", "n")
+        column, _, way = order.partition(" ")
+        return rel.sample_percent(base, [F.col(column).desc_nulls_last() if way == "DESC" else F.col(column).asc_nulls_last(), F.col("o_orderkey")], 3).select("o_orderkey", "n")
+
+
+@query()
+def a50_sample_random(t):
+    return rel.sample_percent(t.orders, [F.rand(7), F.col("o_orderkey")], 3).select("o_orderkey")
+
+
+@query("""WITH RECURSIVE up AS (SELECT p_partkey AS id, p_partkey AS node FROM part UNION ALL SELECT id, node // 2 FROM up WHERE node > 1)
+    SELECT id, count(*) AS depth, count(*) > 8 AS too_deep FROM up GROUP BY 1""")
+def a51_ancestor_depth(t):
+    """The ancestors of k under k div 2, itself included, walked level by level: as many as the tree is deep."""
+    up = now = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("node"))
+    for _ in range(max(1, int(t.part.agg(F.max("p_partkey")).first()[0]).bit_length())):
+        now = now.where("node > 1").select("id", F.expr("node div 2").alias("node"))
+        up = up.unionByName(now)
+    return up.groupBy("id").agg(F.count(F.lit(1)).alias("depth")).withColumn("too_deep", F.col("depth") > crawl.MAX_DEPTH)
+
+
+_DOMAIN = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '^https?://', ''), '/.*$', ''), '^www\.', ''))"
+
+
+@query(f"SELECT domain, count(*) AS pages FROM (SELECT {_DOMAIN} AS domain FROM pages) GROUP BY 1")
+def a70_domain_backfill(t):
+    pages = t.pages.select("page_id", text.normalize_domain(F.col("url")).alias("domain"))
+    return pages.join(pages.select("domain").distinct(), "domain").groupBy("domain").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"[^\"]+\">[^<]+</a>')) > 0 AS has_links, true AS has_text FROM pages")
+def b03_markdown(t):
+    md = t.pages.select("page_id", html.markdown()("html").alias("m")).select("page_id", F.col("m.markdown").alias("md"))
+    return md.select("page_id", F.coalesce(F.regexp_count("md", F.lit(text.LINK)) > 0, F.lit(False)).alias("has_links"), (F.length("md") > 0).alias("has_text"))
+
+
+@query(f"""SELECT page_id, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(html, 'href="(/[^"]*)"', 1), lambda l: regexp_extract(url, '^(https?://[^/?#]*)', 1) || l))), 'string_agg', ' ') AS links
+    FROM pages WHERE len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) > 0""")
+def b05_link_extract(t):
+    origin = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)), lambda p: F.concat(origin, p))
+    return t.pages.withColumn("links", links).where(F.size("links") > 0).select("page_id", F.array_join(F.sort_array(F.array_distinct("links")), " ").alias("links"))
+
+
+@query("SELECT n_nationkey, 'https://x.edu/?page=' || i AS page_url FROM nation, range(0, 25) r(i) WHERE i < n_nationkey")
+def b06_page_urls(t):
+    return t.nation.select("n_nationkey", F.explode(text.page_urls(F.lit("https://x.edu/?page={page_num}"), F.col("n_nationkey"), F.lit(0))).alias("page_url"))
+
+
+@query(f"SELECT {HOST} AS host, min(page_id) AS page_id, count(*) AS pages FROM pages GROUP BY 1")
+def b10_url_dedupe(t):
+    return t.pages.groupBy(F.expr(HOST).alias("host")).agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages"))
+
+
+@query(rf"SELECT page_id, {_DOMAIN} AS domain, regexp_matches({_DOMAIN}, '^[A-Za-z0-9][A-Za-z0-9-]*(\.[A-Za-z0-9-]+)+$') AS valid FROM pages")
+def b13_domains(t):
+    return t.pages.select("page_id", text.normalize_domain(F.col("url")).alias("domain")).withColumn("valid", text.valid_domain(F.col("domain")))
+
+
+_PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+
+
+@query(rf"SELECT page_id, regexp_matches({_PATH}, '^/en/9') OR NOT (regexp_matches({_PATH}, '^/en/') OR regexp_matches({_PATH}, '^/.*\.html$')) AS allowed, 5000 AS interval_ms FROM pages")
+def b16_robots(t):
+    rule = robots.rule_for(robots.parse(ROBOTS))
+    lists = [F.array(*map(F.lit, rule[k])) for k in ("allow", "disallow")]
+    return t.pages.select("page_id", text.robots_allows(F.expr(_PATH), *lists).alias("allowed"), F.lit(int(rule["delay"] * 1000)).alias("interval_ms"))
+
+
+_PRE = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"SELECT doc_id, length({_PRE.format('text')}) AS kept, md5({_PRE.format('text')}) AS digest FROM documents")
+def b18_preprocess(t):
+    return t.documents.select("doc_id", text.preprocess(F.col("text")).alias("p")).select("doc_id", F.length("p").cast("long").alias("kept"), F.md5("p").alias("digest"))
+
+
+@query(f"SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains({_PRE.format('documents.text')}, {_PRE.format('b.text')})")
+def b20_inclusion(t):
+    """The items are a bounded, checked list: each document is held against all of them in one pass."""
+    items = t.benchmark.select("item_id", text.preprocess(F.col("text")).alias("p")).limit(100_001).collect()
+    if len(items) > 100_000:
+        raise ValueError("more items than one list may hold: use the multi-pattern search")
+    lists = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["p"]).alias("p")) for r in items))
+    d = t.documents.select("doc_id", text.preprocess(F.col("text")).alias("p"))
+    return d.select("doc_id", F.explode(F.filter(lists, lambda x: F.col("p").contains(x["p"]))["item_id"]).alias("item_id"))
+
+
+@query("""SELECT doc_id, len(c) AS chunks, abs(len(c) - 10) <= 1 AS accepted FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS c FROM documents)""")
+def b24_chunks(t):
+    """Blank chunks go; ten are expected, and within a tenth is close enough."""
+    chunks = F.filter(F.split("text", "\n"), lambda c: F.trim(c) != "")
+    return t.documents.select("doc_id", F.size(chunks).cast("long").alias("chunks")).withColumn("accepted", F.abs(F.col("chunks") - 10) <= 1)
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_type IN ('view', 'click') THEN event_type END AS kind FROM events")
+def b25_coerce(t):
+    return t.events.select("event_id", text.parse_number(F.get_json_object("props", "$.k")).alias("k"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("kind"))
+
+
+@query("""SELECT user_id, event_type AS winner, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, reached) AS r FROM
+    (SELECT user_id, event_type, max(k) AS votes, max(event_id) AS reached FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) GROUP BY 1, 2)) WHERE r = 1""")
+def b32_vote(t):
+    """The most frequent value; of several, the one that reached the count first."""
+    votes = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("votes"), F.max("event_id").alias("reached"))
+    best = F.max_by(F.struct("event_type", "votes"), F.struct("votes", -F.col("reached"))).alias("x")
+    return votes.groupBy("user_id").agg(best).select("user_id", F.col("x.event_type").alias("winner"), "x.votes")
+
+
+@query("SELECT p_partkey AS \"External ID\", p_name AS \"Name\", CASE WHEN p_size > 25 THEN 'TRUE' ELSE '' END AS \"Is Non-Credit\", printf('%.2f', p_size * 2.0) AS \"Text Verification Average\" FROM part")
+def b40_course_csv(t):
+    return t.part.select(F.col("p_partkey").alias("External ID"), F.col("p_name").alias("Name"), F.when(F.col("p_size") > 25, "TRUE").otherwise("").alias("Is Non-Credit"), F.format_string("%.2f", F.col("p_size") * 2.0).alias("Text Verification Average"))
+
+
+@query("""SELECT 'framework' AS kind, md5(p_brand) AS id, p_brand AS label, NULL AS part_of FROM part GROUP BY p_brand
+    UNION ALL SELECT 'competency', md5(p_brand || '/' || p_partkey), p_name, md5(p_brand) FROM part""")
+def b42_framework_rows(t):
+    """One row for each framework, and each competency with its framework's id; ids are digests, so reruns agree."""
+    frameworks = t.part.select("p_brand").distinct().select(F.lit("framework").alias("kind"), F.md5("p_brand").alias("id"), F.col("p_brand").alias("label"), F.lit(None).cast("string").alias("part_of"))
+    return frameworks.unionByName(t.part.select(F.lit("competency").alias("kind"), F.md5(F.concat_ws("/", "p_brand", "p_partkey")).alias("id"), F.col("p_name").alias("label"), F.md5("p_brand").alias("part_of")))
+
+
+@query("SELECT doc_id, round((CAST(contains(text, lang) AS INT) + CAST(contains(text, source) AS INT)) / 2.0, 4) AS average, 'lang: ' || CASE WHEN contains(text, lang) THEN 'Present' ELSE 'Not present' END || chr(10) || 'source: ' || CASE WHEN contains(text, source) THEN 'Present' ELSE 'Not present' END AS details FROM documents")
+def b44_verification(t):
+    flags = [(n, F.col("text").contains(F.col(n))) for n in ("lang", "source")]
+    return t.documents.select("doc_id", F.round(sum(f.cast("int") for _, f in flags) / F.lit(2.0), 4).alias("average"), F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), F.when(f, "Present").otherwise("Not present")) for n, f in flags)).alias("details"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN l_partkey::VARCHAR ELSE l_partkey || '-' || k END AS external_id FROM
+    (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS k FROM lineitem)""")
+def b45_id_suffix(t):
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    return rel.suffixed(t.lineitem.withColumn("item", order), "l_partkey", "item", "external_id").select("l_orderkey", "l_linenumber", "external_id")
+
+
+@query("SELECT p_partkey, round((greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")
+def b47_levenshtein(t):
+    return t.part.select("p_partkey", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 100 = 0""")
+def b48_cosine(t):
+    """A stated set of queries (ids divisible by 100) against all vectors of their label."""
+    e = t.embeddings
+    q = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    return q.join(e, "label").where("a < vec_id").select("a", F.col("vec_id").alias("b"), F.round(text.cosine(F.col("x"), F.col("embedding")), 5).alias("cosine"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN false WHEN 'MACHINERY' THEN c_nationkey = 7 ELSE true END AS notify FROM customer")
+def b70_notify(t):
+    p = F.when(F.col("c_mktsegment") == "BUILDING", "OFF").when(F.col("c_mktsegment") == "MACHINERY", "MINE")
+    return t.customer.select("c_custkey", text.should_notify(p, F.col("c_nationkey") == 7).alias("notify"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'paginate' WHEN o_orderstatus = 'F' THEN 'extract' WHEN o_orderstatus = 'O' THEN 'follow' ELSE 'error' END AS branch FROM orders")
+def c03_branch(t):
+    """A root with pagination is fetched again through its pages; else its type decides."""
+    paginated, status = F.col("o_orderpriority").startswith("1"), F.col("o_orderstatus")
+    return t.orders.select("o_orderkey", F.when(paginated, "paginate").when(status == "F", "extract").when(status == "O", "follow").otherwise("error").alias("branch"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT page_id AS src, page_id * 2 AS dst FROM pages UNION ALL SELECT page_id, page_id * 2 + 1 FROM pages),
+    w AS (SELECT 1::BIGINT AS id, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM w JOIN e ON src = id WHERE depth < 8)
+    SELECT id, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def c05_bfs(t):
+    edges = t.pages.select(F.col("page_id").alias("src"), F.explode(F.array(F.col("page_id") * 2, F.col("page_id") * 2 + 1)).alias("dst"))
+    return crawl.expand(t.spark.createDataFrame([(1,)], "id long"), edges)
+
+
+@query(f"SELECT page_id, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) * 3000 AS start_ms FROM pages")
+def c06_throttle_slots(t):
+    return crawl.slots(t.pages.select("page_id", F.expr(HOST).alias("host")), F.lit(3000)).select("page_id", "start_ms")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'ERROR' WHEN l.quality = 1 THEN 'SUCCESS' ELSE 'EXTRACTED_NO_DATA' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def c07_page_status(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "ERROR").when(F.col("quality") == 1, "SUCCESS").otherwise("EXTRACTED_NO_DATA").alias("status"))
+
+
+@query("""SELECT user_id, day, n, CASE WHEN n = was THEN 'COMPLETE' ELSE 'IN_PROGRESS' END AS status FROM
+    (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY day) AS was FROM (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2))""")
+def c09_completion_snapshot(t):
+    days = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    was = F.lag("n").over(W.partitionBy("user_id").orderBy("day"))
+    return days.select("user_id", "day", "n", F.when(F.col("n") == was, "COMPLETE").otherwise("IN_PROGRESS").alias("status"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+def c12_resume(t):
+    return t.orders.where("o_orderstatus = 'O'").join(t.lineitem.where("l_linestatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
