@@ -1,0 +1,416 @@
+"""Each operator against a plain version of itself, on small tables with nulls, blanks, long texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quarry.llm import decontamination, lm_scoring, ngram_join, packing, pii, quality, queries, sharding, token_counts, url_filter
+from quarry.llm.exact_dedup import DigestIndex
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, class string, bucket int"
+rng = random.Random(5)
+
+
+def words(n, kinds=400):
+    return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+
+
+def corpus():
+    base = words(60)
+    out = [base, base, base.upper(), "  " + base.replace(" ", "\t\n") + " ", "", None, "   ", "one two", "one two", "one two three four five", "é漢字 \U0001f600 ſ K", "x" * 5000, words(6000)]
+    for k in range(12):
+        w = base.split()
+        w[k * 5] = f"z{k}"
+        out.append(" ".join(w))
+    out += [words(rng.randrange(1, 80)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(out)]
+    return rows + [rows[0], rows[5], (None, base), (None, None), (None, "only here without an id")]
+
+
+ROWS = corpus()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None if i is None or i % 7 == 0 else "en", None if i is None or i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), 1, "c", 0) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, ROWS).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def test_empty_tables(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string, host string")
+    bpe, wpe = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for got in (pii.find(none), sharding.shard(none), url_filter.judge(pages), quality.judge(none, labels), quality.keep(none, labels), token_counts.count_tokens(none, bpe), packing.pack(none, wpe), queries.deduplicated(spark, none), ngram_join.join(none), decontamination.find(none, items), decontamination.clean(none, items), lm_scoring.score(none)):
+        assert got.count() == 0
+
+
+# 1
+
+
+def test_pii_base(docs):
+    text = "mail a.b@x.co.uk, c@d 1.2.3.4 999.1.1.1 or 4111 1111 1111 1111 and +1 (555) 123-4567."
+    spans = pii.base_spans(text)
+    assert [text[a:b] for a, b, _ in spans] == ["a.b@x.co.uk", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567"]
+    spark = docs.sparkSession
+    got = {r.doc_id: r for r in pii.find(frame(spark, [(1, text), (2, None), (3, ""), (4, "é" * 10 + text)])).collect()}
+    for i, off in ((1, 0), (4, 10)):
+        listed = ",".join(f"{k}:{a + off}:{b + off}" for a, b, k in spans)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) <= set(got[i].spans.split(","))
+    assert got[2].base_sha256 == got[3].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_pii_viterbi_is_the_best_path():
+    g = np.random.default_rng(3)
+    field = pii.ChainField(g.normal(size=(pii.FEATURES, 3)), g.normal(size=(3, 3)))
+    window = ["ab", "12", "x@y", "zz"]
+    scores = field.scores([window])[0][0]
+
+    def value(path):
+        return sum(scores[t, y] for t, y in enumerate(path)) + sum(field.move[a, b] for a, b in zip(path, path[1:]))
+
+    best = max(np.ndindex(3, 3, 3, 3), key=value)
+    assert field.decode([window, ["q"]])[0] == list(best)
+
+
+def test_pii_field_on_held_out_sentences():
+    field = pii.train(pii._labelled(400, 7))
+    right = total = 0
+    for w, y in pii._labelled(200, 99):
+        got = [pii.LABELS[k] for k in field.decode([w])[0]]
+        right += sum(a == b for a, b in zip(got, y))
+        total += len(y)
+    assert right / total > 0.97
+
+
+# 2
+
+
+def test_shards(docs):
+    got = sharding.shard(docs, shards=4).collect()
+    assert len(got) == len(ROWS)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    for rows in by.values():
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS)
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+
+
+def test_shards_hot_text_is_split(spark):
+    rows = [(i, "hot text" * 20) for i in range(600)] + [(1000 + i, words(30)) for i in range(600)]
+    got = sharding.shard(frame(spark, rows), shards=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(got) == 8 and max(r.b for r in got) < 1.3 * min(r.b for r in got)
+
+
+# 3
+
+
+def test_url_filter_against_plain_version(spark):
+    link = '<a href="https://{}/x">t</a>'
+    rows = [(1, "https://A.example.com/en/x", link.format("b.org")), (2, "http://www.example.com/en/y?q", link.format("c.org") * 2), (3, "x://b.org", link.format("c.org")), (4, "https://c.org/", None), (5, "https://n.net/es/1", link.format("d.org")), (6, "https://d.org#f", link.format("n.net")), (7, None, link.format("c.org")), (8, "nothing", ""), (9, "https://b.com", "x"), (4, "https://c.org/", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, rule string"), family=False).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.com", "/en/x", "example.com/en/", "block")
+    assert (got[2].rule, got[2].verdict) == ("www.example.com/en/", "allow")
+    assert (got[9].rule, got[9].path, got[9].verdict) == (None, "", "allow")
+    assert (got[7].host, got[7].path, got[7].verdict) == ("", "", "allow") == (got[8].host, got[8].path, got[8].verdict)
+    edges = {("a.example.com", "b.org"): 1, ("www.example.com", "c.org"): 1, ("b.org", "c.org"): 1, ("n.net", "d.org"): 1, ("d.org", "n.net"): 1}
+    for kind, seeds, ways in (("trust", {"www.example.com": 1.0}, edges), ("distrust", {"a.example.com": 0.5, "n.net": 0.5}, {(b, a): w for (a, b), w in edges.items()})):
+        out = collections.Counter()
+        for (a, _), w in ways.items():
+            out[a] += w
+        rank = dict(seeds)
+        for _ in range(12):
+            new = collections.Counter()
+            for (a, b), w in ways.items():
+                new[b] += 0.85 * rank.get(a, 0) * w / out[a]
+            left = 1 - sum(new.values())
+            for h, s in seeds.items():
+                new[h] += left * s
+            rank = new
+        for r in got.values():
+            assert getattr(r, kind) == pytest.approx(rank.get(r.host, 0.0), abs=1e-9)
+
+
+# 4
+
+
+def test_quality_held_out(spark):
+    t = [spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels")]
+    got = quality.judge(t[0], t[1].where("doc_id % 3 != 0"))
+    assert got.count() == t[0].count()
+    held = got.withColumnRenamed("quality", "p").join(t[1].where("doc_id % 3 = 0"), "doc_id").collect()
+    assert sum(r.kept == bool(r.quality) for r in held) / len(held) > 0.85
+
+
+def test_quality_edges(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.quality <= 1 for r in got)
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    one_kind = labels.where("quality = 1")
+    assert quality.keep(docs, one_kind).count() == len(ROWS)
+
+
+# 5
+
+
+def test_token_counts(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "it's I'LL we've", "  \n\n x  y ", "\u00a0\u3000x", "\x85\x1c\x1d a", "é漢字 ١٢٣ ²", "0" * 300, "\x00a", "\u200b\u2028 z", "ab" * 2000]
+    rows = [*ROWS, *((10_000 + i, x) for i, x in enumerate(odd))]
+    got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(frame(spark, rows), path).collect()}
+    want = set()
+    for i, x in rows:
+        n = len(t.encode(x or "", add_special_tokens=False).ids)
+        want.add((i, len((x or "").encode()), n, n > 1024))
+    assert got == want
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in real.collect()}
+    for r in token_counts.count_tokens(real, path).collect():
+        assert r.n_tokens == len(t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
+
+
+# 6
+
+
+def test_packing_round_trip(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["<|endoftext|> x", "ΑΣ ΣΑΣ", "e\u0301 İstanbul", "\x00 a\x1cb", "don't WE'LL 12.5", "\u00a0x\u2009y", "ſ ﬁ Ⅷ", "\x85"]
+    rows = [(i, x) for i, x in ROWS if i is not None][: len(ROWS) - 5] + [(10_000 + i, x) for i, x in enumerate(odd)] + [(r.doc_id + 20_000, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = packing.pack(frame(spark, rows), path).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    assert set(by_doc) == {i for i, _ in rows}
+    for i, x in rows:
+        ids = np.asarray([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    total = sum(r.length for r in got)
+    assert len(by_seq) <= 1.05 * total / 2048 + 2
+
+
+def test_column_generation_covers_demand():
+    g = np.random.default_rng(1)
+    sizes, demand = np.arange(1, 65), g.integers(1, 300, 64).astype(float)
+    plan = packing.column_generation(sizes, demand, 64)
+    assert sum(n * p for n, p in plan).tolist() == demand.tolist()
+    assert all((p * sizes).sum() <= 64 for _, p in plan)
+    assert sum(n for n, _ in plan) <= np.ceil((sizes * demand).sum() / 64) * 1.03
+
+
+# 7
+
+
+def normal(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def exact(rows):
+    least, n = {}, collections.Counter()
+    for i, t in rows:
+        k = normal(t)
+        n[k] += 1
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    return sorted((((i, least.get(normal(t)), n[normal(t)], least.get(normal(t)) == i, hashlib.sha256(normal(t).encode()).hexdigest())) for i, t in rows), key=str)
+
+
+def test_exact_dedup(spark, docs):
+    assert sorted((tuple(r) for r in queries.deduplicated(spark, docs).collect()), key=str) == exact(ROWS)
+
+
+def test_exact_dedup_index_grows(spark):
+    index = DigestIndex(spark, "digests_test", buckets=4)
+    try:
+        first = index.add(frame(spark, [(5, "a"), (7, "a"), (9, "b")])).collect()
+        second = {r.doc_id: r for r in index.add(frame(spark, [(1, "a"), (2, "c"), (3, "c")])).collect()}
+        third = {r.doc_id: r for r in index.add(frame(spark, [(4, "c"), (6, None)])).collect()}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS digests_test")
+    assert {r.doc_id for r in first if r.kept} == {5, 9}
+    assert (second[1].keep_id, second[1].kept, second[1].group_size) == (5, False, 3) and second[2].kept and not second[3].kept
+    assert third[4].keep_id == 2 and third[6].kept
+
+
+# 8
+
+
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components(rows):
+    sets = [(i, s) for i, t in rows if i is not None and (s := shingle_set(t))]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, s) in enumerate(sets):
+        for j, r in sets[:k]:
+            both = len(s & r)
+            if 100 * both >= 80 * (len(s) + len(r) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) if i is not None else None for i in root}
+
+
+def test_ngram_join(docs):
+    want = components(ROWS)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()), key=str) == sorted(((i, len(shingle_set(t)), want[i]) for i, t in ROWS), key=str)
+
+
+def test_ngram_join_many_near_copies(spark):
+    base, rows = words(80, 10_000).split(), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(i % 5):
+            w[rng.randrange(80)] = f"q{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    common = words(30)
+    rows += [(1000 + i, common + " " + words(rng.randrange(1, 60), 5000)) for i in range(150)]
+    want = components(rows)
+    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()} == want
+    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows), rounds=0).collect()} == want
+
+
+# 9
+
+
+def distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers():
+    for _ in range(200):
+        p, t = ("".join(rng.choice("ab ") for _ in range(rng.randrange(1, n))) for n in (90, 120))
+        d, end = decontamination.myers(p, t)
+        assert d == distance(p, t) and 0 <= end <= len(t)
+
+
+def test_decontamination(spark, docs):
+    items = [(i, words(rng.randrange(8, 40))) for i in range(8)] + [(90, None), (91, "  "), (None, "w1")]
+    rows = list(ROWS)
+    for k, (_, t) in enumerate(items[:8]):
+        for edits in (0, 1, 3, 20):
+            c = list(t)
+            for _ in range(edits):
+                at = rng.randrange(len(c))
+                c[at : at + 1] = rng.choice([[], ["#"], [c[at], "#"]])
+            rows.append((500 + 10 * k + edits % 7, words(5) + " " + "".join(c).upper() + "\n " + words(5)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = frame(spark, rows)
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.find(d, bench).collect()}
+    want = {}
+    for i, t in rows:
+        for j, x in items[:8]:
+            n = distance(x, decontamination.normal(t)) if t and len(t) < 2500 else 99
+            if n <= len(x) * 5 // 100:
+                want[i, j] = n
+    assert got == want and want
+    assert decontamination.find(d, bench, block_chars=100).count() == decontamination.find(d, bench).count()
+    clean = decontamination.clean(d, bench)
+    assert clean.columns == d.columns
+    assert clean.count() == sum((i, j) not in want for i, _ in rows for j in [next((k for a, k in want if a == i), None)])
+
+
+# 10
+
+
+def tokens(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 40])
+def test_maximum_entropy(docs, frequent):
+    def held(i):
+        return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+
+    counts = collections.Counter()
+    for i, t in ROWS:
+        if not held(i):
+            counts.update([*tokens(t), "\n"])
+    total = sum(counts.values())
+    want = []
+    for i, t in ROWS:
+        w = [*tokens(t), "\n"]
+        want.append((i, held(i), len(w), sum(counts[x] > 0 for x in w), total, sum(np.log10((counts[x] + 0.1) / (total + 0.1 * (len(counts) + 1))) for x in w)))
+    got = sorted((tuple(r)[:6] for r in lm_scoring.score(docs, frequent=frequent).collect()), key=str)
+    for g, w in zip(got, sorted(want, key=str), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
+
+
+def test_maximum_entropy_beats_its_base(spark):
+    got = lm_scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_class_probabilities_sum_to_one():
+    g = np.random.default_rng(2)
+    w = g.normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32)
+    ids = g.integers(0, 50, 100)
+    rows = lm_scoring.features(ids, np.repeat([0, 40], [40, 60]))
+    assert np.allclose(np.exp(lm_scoring.log_classes(w, np.zeros(lm_scoring.CLASSES, np.float32), rows)).sum(axis=1), 1, atol=1e-5)
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
+    stage = dict(p.STAGES)
+    got = stage["exact dedup"](spark, docs, SF)
+    assert got.columns == docs.columns
+    keep = {k for k in exact(ROWS) if k[3] or k[0] is None}
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((i for i, t in ROWS if i is None or any(k[0] == i for k in keep)), key=str)
+    got = stage["n-gram Jaccard join"](spark, docs, SF)
+    root = components(ROWS)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((i for i, _ in ROWS if i is None or root[i] == i), key=str)
+    got = p.run(spark, SF).collect()
+    assert got and len({(r.doc_id, r.start) for r in got}) == len(got)
