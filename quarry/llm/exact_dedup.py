@@ -41,14 +41,14 @@ class DigestIndex:
         known = self.known()
         old = known.select("digest", F.col("keep_id").alias("known_id"), F.col("copies").alias("known_copies"))
         new = written(groups.join(known.hint("merge"), "digest", "left_anti").withColumn("keep_id", F.col("first_id")), "digests-new")
-        seen = groups.join(old.hint("merge"), "digest", "inner").select("digest", F.col("known_id").alias("keep_id"), (F.col("copies") + F.col("known_copies")).alias("copies"))
-        decided = written(new.select("digest", "keep_id", "copies").unionByName(seen), "digests-decided")
+        seen = groups.join(old.hint("merge"), "digest", "inner").select("digest", F.col("known_id").alias("keep_id"), (F.col("copies") + F.col("known_copies")).alias("copies"), F.col("copies").alias("here"))
+        decided = written(new.select("digest", "keep_id", "copies", F.col("copies").alias("here")).unionByName(seen), "digests-decided")
         self.append(new)
         forget(new)
         rows = slim.count()
         # Copies of one text may be a third of all rows: hot groups are few, so they are broadcast, the rest is merged.
-        is_hot = F.col("copies") >= max(HOT, rows // HOT)
-        hot = decided.where(is_hot)
-        cold = decided.where(~is_hot)
+        # Their rows in ``docs`` count, not those in the index: at most HOT groups hold a 1/HOT part of these.
+        is_hot = F.col("here") >= max(HOT, rows // HOT)
+        hot, cold = decided.where(is_hot).drop("here"), decided.where(~is_hot).drop("here")
         out = slim.join(F.broadcast(hot), "digest").unionByName(slim.join(F.broadcast(hot), "digest", "left_anti").join(cold.hint("merge"), "digest"))
         return out.select("doc_id", "keep_id", F.col("copies").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
