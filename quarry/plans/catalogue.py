@@ -364,9 +364,9 @@ def c07_page_status(t):
 
 
 @query("""SELECT user_id, day, n, CASE WHEN n = was THEN 'COMPLETE' ELSE 'IN_PROGRESS' END AS status FROM
-    (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY day) AS was FROM (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2))""")
+    (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY day) AS was FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2))""")
 def c09_completion_snapshot(t):
-    days = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    days = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     was = F.lag("n").over(W.partitionBy("user_id").orderBy("day"))
     return days.select("user_id", "day", "n", F.when(F.col("n") == was, "COMPLETE").otherwise("IN_PROGRESS").alias("status"))
 

@@ -64,3 +64,20 @@ def test_completion_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("looks").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert {r.extraction_id: r.status for r in spark.table("looks").collect()} == {1: "COMPLETE", 2: "CANCELLED"}
+
+
+def test_resolve(spark):
+    from quarry.functions import urls
+
+    base = F.lit("https://h.edu/a/b/c.html?q=1#f")
+    for link, want in (("d", "https://h.edu/a/b/d"), ("../d/./e?x#y", "https://h.edu/a/d/e?x#y"), ("../../../z", "https://h.edu/z"), ("?p=2", "https://h.edu/a/b/c.html?p=2"), ("#g", "https://h.edu/a/b/c.html?q=1#g"), ("//o.org/x", "https://o.org/x"), ("mailto:a", "mailto:a"), ("/r/..", "https://h.edu/"), ("..", "https://h.edu/a/")):
+        assert one(spark, urls.resolve(base, F.lit(link))) == want
+    assert one(spark, urls.resolve(F.lit("none"), F.lit("x"))) is None
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from quarry.sources import csv_sink
+
+    rows = [(1, 'a "quoted", cell'), (2, "two\nlines"), (3, None)]
+    csv_sink.write(spark.createDataFrame(rows, "id long, name string"), str(tmp_path / "x"), 1)
+    assert sorted(map(tuple, csv_sink.read(spark, str(tmp_path / "x"), "id long, name string").collect())) == rows
