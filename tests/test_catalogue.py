@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry.plans import catalogue, lifecycle  # noqa: F401  (lifecycle adds its queries to the catalogue)
+from quarry.plans import catalogue, lifecycle, recipes  # noqa: F401  (the others add their queries to the catalogue)
 
 DATA = "/root/testdata/sf0.001"
 
