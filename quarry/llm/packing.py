@@ -76,6 +76,19 @@ class WordIds(dict):
                 self[w] = raw[a:b]
                 a = b
 
+    def look_up(self, texts: list[list[str] | None]) -> list[list[bytes] | None]:
+        """The ids of each text's words. Every word is looked up once; only those not met before are looked at again."""
+        found = [None if words is None else list(map(self.get, words)) for words in texts]
+        missing = [[i for i, x in enumerate(f) if x is None] if f else [] for f in found]
+        new = list({words[i] for words, at in zip(texts, missing, strict=True) for i in at})
+        for a in range(0, len(new), WORDS_KEPT // 2):
+            self.learn(new[a : a + WORDS_KEPT // 2])
+            for words, f, at in zip(texts, found, missing, strict=True):
+                for i in at:
+                    if f[i] is None:
+                        f[i] = self.get(words[i])
+        return found
+
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -97,14 +110,9 @@ def pieces_of(docs: DataFrame, vocabulary: str, width: int, end_id: int) -> Data
                 part = b.slice(at, 64)
                 raw = [t or "" for t in part.column(1).to_pylist()]
                 texts = [known.split(t) for t in raw]
-                new = list(set().union(*filter(None, texts)).difference(known))
-                for i in range(0, len(new), WORDS_KEPT // 2):
-                    known.learn(new[i : i + WORDS_KEPT // 2])
-                for doc, text, words in zip(part.column(0).to_pylist(), raw, texts, strict=True):
-                    try:
-                        ids = (known.whole(text) if words is None else b"".join(map(known.__getitem__, words))) + end
-                    except KeyError:  # the table of words was emptied since
-                        ids = b"".join(_slowly(known, words)) + end
+                looked_up = known.look_up(texts)
+                for doc, text, found in zip(part.column(0).to_pylist(), raw, looked_up, strict=True):
+                    ids = (known.whole(text) if found is None else b"".join(found)) + end
                     for s in range(0, len(ids), step):
                         piece = ids[s : s + step]
                         for column, v in zip(out, (doc, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
@@ -114,13 +122,6 @@ def pieces_of(docs: DataFrame, vocabulary: str, width: int, end_id: int) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, PIECE)
 
 
-def _slowly(known: WordIds, words: list[str]) -> Iterator[bytes]:
-    for w in words:
-        if w not in known:
-            known.learn([w])
-        yield known[w]
-
-
 def price(values: np.ndarray, sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The knapsack: a best pattern of items of ``sizes``, as counts, and its value; no item more often than is asked for."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
