@@ -2,8 +2,8 @@
 
 The base patterns find emails, IP addresses, card and phone numbers anywhere. The field adds what no pattern of
 these names: contacts (addresses written out, local phone numbers) and credentials (keys, tokens and passwords
-with their names). It is trained on a small labelled table, made here from a rule, and decoded by Viterbi over
-windows of words around those that hold a digit or an at sign: words elsewhere cannot be of these kinds.
+with their names). It is trained on a small labelled table, made here from a rule, and decoded by Viterbi over all
+words of a text, in overlapping windows.
 
 Null text: empty. Repeated rows: each is searched. Base spans stay; an added span never overlaps one.
 """
@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDED = ("contact", "credential")
 LABELS = ("O", *(f"{p}-{k}" for k in (*KINDS, *ADDED) for p in "BI"))
 FEATURES = 1 << 12
-NEAR = 3
+#: Words at each end of a window that are decoded for their neighbours' sake only, if the text goes on there.
+OVERLAP = 32
 _WORD = re.compile(r"[^\x20\t-\r]+")
-#: No contact or credential is without one of these.
-_SURE = re.compile(r"[0-9]{3}|@|[\[(]at[\])]| at ")
-_MARK = re.compile(r"[0-9@]|\[at\]|\(at\)")
+#: No contact is without one of these: three digits in a row, an at sign, or an at and a dot written out.
+_CONTACT = re.compile(r"[0-9]{3}|@|[\[(]at[\])]|\bat\b[^a-z]+[\s\S]*(\bdot\b|\.[a-z])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -69,19 +70,34 @@ def shape(word: str) -> str:
     return "".join(out[:24])
 
 
-def word_features(words: list[str], i: int) -> list[int]:
-    w = words[i]
-    digits = sum(c.isdigit() for c in w)
-    letters = sum(c.isalpha() for c in w)
-    here = ["s:" + shape(w), f"n:{min(len(w), 40) // 4}", f"d:{min(digits, 20)}", f"l:{min(letters, 20) // 3}", "p:" + w[:1], "e:" + w[-1:], f"mix:{digits > 3 and letters > 3}"]
+@lru_cache(1 << 17)
+def _id(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+def own_features(w: str, form: str) -> list[int]:
+    plain = w.isalpha()
+    digits = 0 if plain else sum(c.isdigit() for c in w)
+    letters = len(w) if plain else sum(c.isalpha() for c in w)
+    here = [_id("s:" + form), _id(f"n:{min(len(w), 40) // 4}"), _id(f"d:{min(digits, 20)}"), _id(f"l:{min(letters, 20) // 3}"), _id("p:" + w[:1]), _id("e:" + w[-1:]), _id(f"mix:{digits > 3 and letters > 3}")]
     if letters == len(w) and len(w) <= 8 or "[" in w or "(" in w or "=" in w:
-        here.append("w:" + w.lower().split("=")[0])
-    for k, name in ((-1, "b"), (1, "a"), (-2, "bb")):
-        near = words[i + k] if 0 <= i + k < len(words) else "\n"
-        here.append(name + shape(near))
-        if len(near) <= 8:
-            here.append(name + "w" + near.lower())
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % FEATURES for f in here]
+        here.append(_id("w:" + w.lower().split("=")[0]))
+    if len(w) >= 12:
+        here.append(_id("q:" + w[:4]))
+    return here
+
+
+def near_features(name: str, near: str, form: str) -> list[int]:
+    return [_id(name + form), _id(name + "w" + near.lower())] if len(near) <= 8 else [_id(name + form)]
+
+
+#: Places of the neighbours that a word's features name, and beyond the ends of a window EDGE.
+PLACES, EDGE = ((-1, "b"), (1, "a"), (-2, "bb")), "\n"
+
+
+def word_features(words: list[str], i: int) -> list[int]:
+    near = [(name, words[i + k] if 0 <= i + k < len(words) else EDGE) for k, name in PLACES]
+    return own_features(words[i], shape(words[i])) + [x for name, w in near for x in near_features(name, w, shape(w))]
 
 
 def labelled_table(spark: SparkSession, rows: int = 600, seed: int = 7) -> DataFrame:
@@ -99,6 +115,11 @@ def _labelled(rows: int, seed: int) -> list[tuple[list[str], list[str]]]:
     def word():
         return "".join(pick(*parts) for _ in range(int(rng.integers(1, 4))))
 
+    def prose():
+        w = "".join(pick(*parts) for _ in range(int(rng.integers(1, 7))))
+        w = pick(w, w, w, w, w.title(), w.title(), w.upper())
+        return w + pick("", "", "", "", "", ",", ".", pick("!!", ":", ";", ")", "'s", "-" + word(), "?"))
+
     def digits(n):
         return "".join(str(d) for d in rng.integers(0, 10, n))
 
@@ -111,19 +132,19 @@ def _labelled(rows: int, seed: int) -> list[tuple[list[str], list[str]]]:
         "ip": lambda: ".".join(str(x) for x in rng.integers(1, 256, 4)),
         "card": lambda: pick(" ", "-", "").join(digits(4) for _ in range(4)),
         "phone": lambda: pick(f"+{pick(1, 44, 49)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}"),
-        "contact": lambda: pick(f"{word()} {pick('at', '[at]', '(at)')} {word()}{digits(1)} {pick('dot', '[dot]', '(dot)')} {pick('com', 'org', 'net')}", f"{word()}[at]{word()}.com", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"),
-        "credential": lambda: pick(f"password={text(hexa, 18)}", f'token = "{text(hexa, 40)}"', f"AKIA{text(caps, 16)}", f"api_key={text(caps + hexa, 24)}", f"secret: {text(hexa, 32)}"),
+        "contact": lambda: pick(f"{word()} at {word()} dot {pick('com', 'org', 'net')}", f"{word()} {pick('at', '[at]', '(at)')} {word()}{pick(digits(1), '')} {pick('dot', '[dot]', '(dot)')} {pick('com', 'org', 'net')}", f"{word()}[at]{word()}.com", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        "credential": lambda: pick(f"password={text(hexa, 18)}", f'token = "{text(hexa, 40)}"', f"AKIA{text(caps, 16)}", f"AKIA{text(caps[:26], 9)}{digits(1)}{text(caps[:26], 6)}", f"api_key={text(caps + hexa, 24)}", f"secret: {text(hexa, 32)}", f"{pick('password', 'api_key')}={text('abcdefghijklmnopqrstuvwxyz', int(rng.integers(8, 25)))}"),
     }
-    plain = [lambda: digits(int(rng.integers(1, 7))), lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"${digits(2)}.{digits(2)}", lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"({digits(2)})", lambda: f"{word()}{digits(1)}", lambda: f"CC BY-NC {digits(1)}.0", lambda: f"{digits(1)}: {word()}", lambda: f"https://{word()}.com/{digits(4)}", lambda: f"at {word()}", lambda: f"{word()} | {digits(2)} |", lambda: digits(int(rng.integers(10, 20)))]
+    plain = [lambda: digits(int(rng.integers(1, 7))), lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"${digits(2)}.{digits(2)}", lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"({digits(2)})", lambda: f"{word()}{digits(1)}", lambda: f"CC BY-NC {digits(1)}.0", lambda: f"{digits(1)}: {word()}", lambda: f"https://{word()}.com/{digits(4)}", lambda: f"at {word()}", lambda: f"{word()} at {prose()} {word()}", lambda: f"= {word()}", lambda: f"{word()} | {digits(2)} |", lambda: digits(int(rng.integers(10, 20)))]
     out = []
     for _ in range(rows):
         words, labels = [], []
         for _ in range(int(rng.integers(1, 4))):
-            filler = [word() for _ in range(int(rng.integers(1, 6)))]
+            filler = [pick(word, prose)() for _ in range(int(rng.integers(1, 6)))]
             words += filler
             labels += ["O"] * len(filler)
             if rng.random() < 0.65:
-                kind = pick(*makers)
+                kind = pick(*makers, *ADDED, *ADDED)
                 got = makers[kind]().split(" ")
                 labels += [f"B-{kind}", *[f"I-{kind}"] * (len(got) - 1)]
                 if rng.random() < 0.3 and kind != "credential":
@@ -132,30 +153,91 @@ def _labelled(rows: int, seed: int) -> list[tuple[list[str], list[str]]]:
                 got = pick(*plain)().split(" ")
                 labels += ["O"] * len(got)
             words += got
-        filler = [word() for _ in range(int(rng.integers(0, 4)))]
+        filler = [pick(word, prose, prose)() for _ in range(int(rng.integers(0, 12)))]
         out.append((words + filler, labels + ["O"] * len(filler)))
     return out
 
 
+def alike(w: str) -> str:
+    """A word with the very same features: of long words, lower-case letters in the middle are in none."""
+    n = len(w)
+    if 9 <= n <= 40:
+        head = 4 if n >= 12 else 1
+        for tail in (1, 4):
+            middle = w[head : n - tail]
+            if middle.isalpha() and middle.islower() and not _OPENS.search(w):
+                return w[:head] + "a" * len(middle) + w[n - tail :]
+    return w
+
+
+_OPENS = re.compile(r"[\[(=]")
+#: Words whose scores a field holds before it starts anew.
+WORDS = 200_000
+
+
 class ChainField:
     """State weights by feature and label, and transitions between labels."""
 
     def __init__(self, state: np.ndarray, move: np.ndarray):
         self.state, self.move = state.astype(np.float32), move.astype(np.float32)
+        self.known, self.by_word = {}, np.empty((0, 1 + len(PLACES), state.shape[1]), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"state": self.state, "move": self.move}
+
+    def __setstate__(self, held: dict) -> None:
+        self.__init__(held["state"], held["move"])
+
+    def look_up(self, words: set[str]) -> None:
+        """Fills ``by_word``: its own score by label, and what it adds to that of the words it is a neighbour of, by PLACES."""
+        if len(self.known) > WORDS:
+            self.known, self.by_word = {}, self.by_word[:0]
+        like = {w: alike(w) for w in words if w not in self.known}
+        new = [*([] if self.known else [EDGE]), *(set(like.values()) - self.known.keys())]
+        if new:
+            # Short words of lower-case letters differ by first and last letter and length, and by the features that spell them.
+            short = [len(w) <= 8 and w.isalpha() and w.islower() for w in new]
+            keys = [(w[0], w[-1], len(w)) if x else w for w, x in zip(new, short, strict=True)]
+            rows = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            flat, at = [], []
+            for k in rows:
+                w = k if isinstance(k, str) else (k[0] + "a" * (k[2] - 2) + k[1])[-k[2] :]
+                form = shape(w)
+                lists = [own_features(w, form), *(near_features(name, w, form) for _, name in PLACES)]
+                for f in lists:
+                    at.append(len(flat))
+                    flat += f if isinstance(k, str) else f[:-1]
+            found = np.add.reduceat(self.state[flat], at).reshape(len(rows), 1 + len(PLACES), -1)[[rows[k] for k in keys]]
+            names = ("w:", *(name + "w" for _, name in PLACES))
+            spelt = [zlib.crc32((name + low).encode("utf-8", "surrogatepass")) % FEATURES for w, x in zip(new, short, strict=True) if x for low in (w.lower(),) for name in names]
+            found[np.array(short, bool)] += self.state[spelt].reshape(-1, len(names), found.shape[2])
+            self.known.update(zip(new, range(len(self.by_word), len(self.by_word) + len(new)), strict=True))
+            self.by_word = np.concatenate([self.by_word, found])
+        self.known.update((w, self.known[v]) for w, v in like.items())
 
     def scores(self, windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by window, place and label, padded; and the windows' lengths."""
-        return _padded(self.state, [[word_features(w, i) for i in range(len(w))] for w in windows])
+        """Scores by window, place and label, padded; and the windows' lengths. Each distinct word is looked up once."""
+        lengths = np.array([len(w) for w in windows])
+        self.look_up(set().union(*windows) - {EDGE})
+        ids = np.full((len(windows), lengths.max() + 3), self.known[EDGE])
+        for x, w in enumerate(windows):
+            ids[x, 2 : 2 + len(w)] = [self.known[v] for v in w]
+        end = ids.shape[1] - 1
+        out = self.by_word[ids[:, 2:end], 0]
+        for at, (k, _) in enumerate(PLACES, 1):
+            out += self.by_word[ids[:, 2 + k : end + k], at]
+        return out, lengths
 
     def decode(self, windows: list[list[str]]) -> list[list[int]]:
         """The best label sequence of each window: Viterbi over the whole batch at once."""
         scores, lengths = self.scores(windows)
         n, longest, k = scores.shape
         best, back = scores[:, 0], np.zeros((n, longest, k), np.int8)
+        to = np.ascontiguousarray(self.move.T)
         for t in range(1, longest):
-            step = best[:, :, None] + self.move
-            back[:, t] = step.argmax(axis=1)
-            best = np.where((t < lengths)[:, None], step.max(axis=1) + scores[:, t], best)
+            step = best[:, None, :] + to
+            back[:, t] = at = step.argmax(axis=2)
+            best = np.where((t < lengths)[:, None], np.take_along_axis(step, at[:, :, None], 2)[:, :, 0] + scores[:, t], best)
         last, out = best.argmax(axis=1), np.zeros((n, longest), int)
         for t in range(longest - 1, -1, -1):
             out[:, t] = last
@@ -225,42 +307,43 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 25, batch: int
     return ChainField(state, move)
 
 
-def windows_of(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of words, in runs around those that may belong to personal data."""
-    marks = [m.start() for m in _MARK.finditer(text)]
-    if not marks:
-        return []
-    out, words = [], None
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in words])
-    at = np.unique(np.searchsorted(starts, marks, side="right") - 1)
-    for i in at:
-        a, b = max(0, i - NEAR), min(len(words), i + NEAR + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [words[a:b] for a, b in out]
+def windows_of(n: int, longest: int) -> list[tuple[int, int, int, int]]:
+    """start, end of windows over n words, and from where to where each one's labels hold: these parts meet without gaps."""
+    if n <= longest:
+        return [(0, n, 0, n)] if n else []
+    starts = range(0, n - 2 * OVERLAP, longest - 2 * OVERLAP)
+    return [(a, min(a + longest, n), a + OVERLAP * (a > 0), a + longest - OVERLAP if a + longest < n else n) for a in starts if not a or a + OVERLAP < n]
+
+
+def labels_of(texts: list[list[str]], field: ChainField, longest: int = 256) -> list[list[int]]:
+    """A label for every word of each text. Windows are decoded in batches of like length."""
+    out = [[0] * len(t) for t in texts]
+    jobs = sorted(((b - a, x, a, b, low, high) for x, t in enumerate(texts) for a, b, low, high in windows_of(len(t), longest)))
+    for at in range(0, len(jobs), 512):
+        some = jobs[at : at + 512]
+        for (_, x, a, _, low, high), labels in zip(some, field.decode([texts[x][a:b] for _, x, a, b, *_ in some]), strict=True):
+            out[x][low:high] = labels[low - a : high - a]
+    return out
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], field: ChainField, longest: int = 256) -> list[list[tuple[int, int, str]]]:
-    """What the field adds to each text. Windows are decoded in batches of like length; one beyond ``longest`` words in parts."""
-    jobs = [(x, w[a : a + longest]) for x, t in enumerate(texts) for w in windows_of(t) for a in range(0, len(w), longest)]
-    jobs.sort(key=lambda j: len(j[1]))
+    """What the field adds to each text."""
+    places = [[m.span() for m in _WORD.finditer(t)] for t in texts]
+    found = labels_of([[t[p:q] for p, q in spans] for t, spans in zip(texts, places, strict=True)], field, longest)
     out: list[list] = [[] for _ in texts]
-    for a in range(0, len(jobs), 128):
-        some = jobs[a : a + 128]
-        for (x, spans), labels in zip(some, field.decode([[texts[x][p:q] for p, q in spans] for x, spans in some]), strict=True):
-            start = None
-            for i, y in enumerate([*labels, 0]):
-                name = LABELS[y]
-                if start is not None and not (name[0] == "I" and name[2:] == kind):
-                    text = texts[x][spans[start][0] : spans[i - 1][1]].rstrip(".,;")
-                    if _SURE.search(text):
-                        out[x].append((spans[start][0], spans[start][0] + len(text), kind))
-                    start = None
-                if name[0] in "BI" and start is None and name[2:] in ADDED:
-                    start, kind = i, name[2:]
+    for x, (spans, labels) in enumerate(zip(places, found, strict=True)):
+        if not any(labels):
+            continue
+        start = None
+        for i, y in enumerate([*labels, 0]):
+            name = LABELS[y]
+            if start is not None and not (name[0] == "I" and name[2:] == kind):
+                text = texts[x][spans[start][0] : spans[i - 1][1]].rstrip(".,;")
+                if kind != "contact" or _CONTACT.search(text):
+                    out[x].append((spans[start][0], spans[start][0] + len(text), kind))
+                start = None
+            if name[0] in "BI" and start is None and name[2:] in ADDED:
+                start, kind = i, name[2:]
     return [sorted(s for s in found if not any(s[0] < e and b < s[1] for b, e, _ in base)) for found, base in zip(out, bases, strict=True)]
 
 
