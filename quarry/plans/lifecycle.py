@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from quarry.functions import text, urls
 from quarry.operators import relational as rel, writes
@@ -19,6 +19,13 @@ def a17_error_pages(t):
     return rel.page(t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.col("o_orderkey")], 100)
 
 
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place, o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def a17_all_error_pages(t):
+    """Every error page of every extraction (o_custkey), with its place in the extraction's list."""
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    return t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate", place.alias("place"), "o_custkey")
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'fetch' ELSE 'extract' END AS work FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
 def a19_work_list(t):
     detail = (F.col("o_orderstatus") == "P") & F.col("o_orderpriority").startswith("1")
@@ -41,6 +48,17 @@ def a41_datasets_page(t):
     return rel.page(counted, [F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "items")
 
 
+@query("""SELECT o_custkey, o_orderkey, total, place, count(l_orderkey) AS items FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS total,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE place <= 20 GROUP BY ALL""")
+def a41_datasets_pages(t):
+    """The first page of 20 of every parent, each row with the parent's total."""
+    total = F.count(F.lit(1)).over(W.partitionBy("o_custkey"))
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    paged = t.orders.select("o_custkey", "o_orderkey", total.alias("total"), place.alias("place")).where("place <= 20")
+    return rel.with_count(paged, t.lineitem, "o_orderkey", "l_orderkey", "items").select("o_custkey", "o_orderkey", "total", "place", "items")
+
+
 @query("SELECT count(*) AS n FROM customer WHERE c_name ILIKE '%9%' OR len(list_filter(string_split(c_name, '#'), lambda x: x ILIKE '%77')) > 0")
 def a42_array_search_count(t):
     return t.customer.where(F.col("c_name").ilike("%9%") | F.exists(F.split("c_name", "#"), lambda x: x.ilike("%77"))).agg(F.count(F.lit(1)).alias("n"))

@@ -32,3 +32,17 @@ def test_query(spark, duck, name):
         want = duck.execute(catalogue.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got.astype(object)) == rows(want.astype(object))
+
+
+def test_error_pages_and_datasets_are_whole(spark):
+    """No error page is lost after the hundredth, no parent from 50 on, and each parent's total stands beside its page."""
+    data = "/root/testdata/sf0.01"
+    orders = pd.read_parquet(f"{data}/orders.parquet", columns=["o_orderkey", "o_custkey", "o_orderstatus"])
+    errors = orders[orders.o_orderstatus == "P"]
+    got = catalogue.QUERIES["a17_all_error_pages"](spark, data).toPandas()
+    assert len(errors) > 100 and sorted(got.o_orderkey) == sorted(errors.o_orderkey)
+    got = catalogue.QUERIES["a41_datasets_pages"](spark, data).toPandas()
+    sizes = orders.groupby("o_custkey").size()
+    assert max(sizes.index) > 50 and max(sizes) > 20
+    assert got.groupby("o_custkey").total.first().to_dict() == sizes.to_dict()
+    assert got.groupby("o_custkey").size().to_dict() == sizes.clip(upper=20).to_dict()
