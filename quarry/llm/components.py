@@ -27,5 +27,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components: edges still change after {rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

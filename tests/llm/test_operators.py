@@ -356,6 +356,13 @@ def test_ngram_join_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows), rounds=0).collect()} == want
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in ngram_join.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        ngram_join.components(chain, rounds=1)
+
+
 # 9
 
 
