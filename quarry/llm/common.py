@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
@@ -37,6 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Names of the columns that tell rows apart; no table of documents is thought to have them.
+ROW = ("_row_file", "_row_place")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the columns ROW, by which each row is told from all others: the file that it is read from and its
+    place there, so that a row keeps its number however often, and by however many executors, the files are read.
+    A table that is not read from files is written first."""
+    try:
+        where = df.metadataColumn("_metadata")
+        out = df.select("*", F.xxhash64(where["file_path"]).alias(ROW[0]), where["row_index"].alias(ROW[1]))
+        out.schema  # noqa: B018  (resolves the columns)
+        return out
+    except AnalysisException:
+        return numbered(written(df, "numbered"))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a ``written`` table that no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -1,15 +1,25 @@
 """Operator 8: n-gram Jaccard self-join as a blocked sparse matrix product of the document by n-gram incidence.
 
-Rows of the matrix are distinct sets of word shingles (equal sets are one row, named by their smallest doc_id),
-columns are shingles. Columns are put in one order, frequent ones last, and only a row's first columns, by the
-bound that its size gives, are multiplied: two rows that share none of these cannot reach the similarity. Columns
-with the same rows are multiplied once. The product is accumulated block by block: each column first pairs its
-rows with one of them (the one with fewest rare columns, so the middle of a group of copies), then, in the last block, all rows that are not known to be connected yet; pairs that the
-sizes rule out are discarded before their whole overlap is counted. So a group of copies, however large, costs
-about its rows, while no link between different groups is lost.
-
-Null or empty text, or none but white space: no shingles, linked with nothing. Null doc_id: linked with nothing.
-Rows that share a doc_id count as one document for linking, by one of their texts. Repeated rows: one set. Empty table: no rows.
+Rows of the matrix are distinct sets of word shingles (equal sets are one row), columns are shingles, and an entry says
+that a set holds a shingle. Two sets reach the similarity only if they share ``c`` = ceil(similarity * greater size)
+columns, which bounds the work three times:
+
+* Of any order of the columns, the first n - c + m of two such sets share at least m. With the order of the hashes and
+  m = c / 8, a set that holds fewer than m shared columns among these links with nothing; most sets end here.
+* The others' columns are counted exactly and put in order of these counts, rarest first. Only a set's first n - c + 1
+  columns are multiplied, of which columns that no other set has need no entry.
+* The first column that two sets share leaves each no more than its columns from there on to share.
+
+Columns with the same rows are multiplied once. The product is accumulated in blocks: first each column pairs its rows
+with one of them, twice; then, in each column, the rows outside its largest group of connected rows meet all rows
+that are not connected with them. So a group of near copies, however large, costs about its rows, while no link between
+different groups is lost. Overlaps of the pairs that are left are counted from the whole sets.
+
+Null or empty text, or none but white space: no shingles, linked with nothing. Null doc_id: linked like any other, by
+its text. Rows that share a doc_id are documents of their own. Repeated rows: one set. Empty table: no rows. Very long
+texts: hashed in runs; a set is one row of at most as many numbers as the text has words. Columns other than doc_id
+and text are ignored, unless named in ``keys``. Equal sets are told apart from others by 128 bits of hash and their
+size, rows by 64 of these.
 """
 
 from __future__ import annotations
@@ -18,136 +28,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import forget, most_frequent, written
+from .common import forget, written
 from .components import components
 from .hashing import mix, shingle_sets
 
-#: The most frequent shingles that go last in the column order. Any such list gives the same result.
-HOT_COLUMNS = 1 << 18
-#: Shingles that a task counts at a time to find them, and how often one must occur among these.
-COUNTED, OFTEN = 1_500_000, 3
 #: Of the filter that says which documents' sets are wanted; false positives only cost time.
 BUCKETS = 1 << 20
+#: A column with at least a 1/HOT part of all entries is hot; there are HOT of these at most, so they may be broadcast.
+HOT = 1 << 16
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, d1, d2 of each document; and, with doc_id null, n occurrences of shingle d1."""
+def least_shared(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
 
-    names = ["doc_id", "n", "d1", "d2", "column"]
 
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
-        seen, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-        seen, times = seen[times >= OFTEN], times[times >= OFTEN]
-        k = len(seen)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.array(seen.view(np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool))], names)
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for whole in rows:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                sets = shingle_sets(b.column(1).to_pylist(), words)
-                n = [len(s) for s in sets]
-                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(np.zeros(len(n), bool))], names)
-                held += sets
-                size += sum(n)
-                if size >= COUNTED:
-                    yield often(held)
-                    held, size = [], 0
-        yield often(held)
-
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n long, d1 long, d2 long, column boolean")
+def extra(n: int, percent: int) -> int:
+    """How many columns the first bound asks for. It grows no faster than ``least_shared``, as the bound needs."""
+    return max(1, least_shared(n, percent) // 8)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """How many of the sorted shingles fall into each of about n / 4 equal cells of the hash range."""
-    bits = min(max(len(s) // 4, 16).bit_length() - 1, 14)
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+def _identity(s: np.ndarray) -> int:
+    return int(s.sum(dtype=np.uint64).view(np.int64))
 
 
-def most(x: np.ndarray, y: np.ndarray) -> int:
-    """No two sets with these sketches share more shingles."""
-    if len(x) > len(y):
-        x, y = y, x
-    if len(x) < len(y):
-        y = y.reshape(len(x), -1).sum(axis=1)
-    return int(np.minimum(x, y).sum())
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
 
 
-def _identity(s: np.ndarray) -> int:
-    return int(s.sum(dtype=np.uint64).view(np.int64))
+def _signatures(docs: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """doc_id, keys, n, d1, d2 of each document's set, and its first columns in the order of the hashes."""
 
-
-def _first_columns(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
-    """doc_id, d1, n, cold, sketch, columns: the columns of each document of which a similar one must share at least one,
-    the first ``cold`` of them not frequent. If a frequent one is among them, so are all that are not."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.argsort(hot.value)  # hot: from the rarest to the most frequent
-        ids = hot.value[rank]
         for whole in rows:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                sizes, names, cells, colds, out = [], [], [], [], []
-                for s in shingle_sets(b.column(1).to_pylist(), words):
-                    n = len(s)
-                    sizes.append(n)
-                    names.append(_identity(s))
-                    cells.append(sketch(s).tobytes())
-                    k = n - -(-percent * n // 100) + 1
-                    if n and len(ids):
-                        at = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
-                        is_hot = ids[at] == s
-                        cold = s[~is_hot][:k]
-                        if len(cold) < k:
-                            late = np.flatnonzero(is_hot)
-                            cold = np.concatenate([cold, s[late[np.argsort(rank[at[late]])]][: k - len(cold)]])
-                        colds.append(min(int((~is_hot).sum()), k))
-                        s = cold
-                    else:
-                        colds.append(min(n, k))
-                    out.append(s[:k].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(colds, pa.int64()), pa.array(cells, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "d1", "n", "cold", "sketch", "columns"])
-
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, d1 long, n long, cold long, sketch binary, columns array<long>")
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = shingle_sets(b.column(b.num_columns - 1).to_pylist(), words)
+                n = [len(s) for s in sets]
+                d2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                first = _lists([s[: len(s) - least_shared(len(s), percent) + extra(len(s), percent)] for s in sets])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array([_identity(s) for s in sets], pa.int64()), pa.array(d2), first], [*b.schema.names[:-1], "n", "d1", "d2", "first"])
+
+    kept = docs.select("doc_id", *keys, "text")
+    return kept.mapInArrow(batches, kept.drop("text").schema.add("n", "long").add("d1", "long").add("d2", "long").add("first", ArrayType(LongType())))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, d1, n, columns of each document's whole set."""
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 found = shingle_sets(b.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_identity(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "d1", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), _lists(found)], ["doc_id", "d1", "n", "columns"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, d1 long, set binary")
-
-
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that their sketches do not rule out."""
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            keep = []
-            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                both = most(np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16))
-                keep.append((100 + percent) * both >= percent * (n + m))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(batches, "a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, d1 long, n long, columns array<long>")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked of the pairs (a, b)."""
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             out = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -155,68 +104,99 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+    members = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
+    some = sets.join(members, "d1", "left_semi")
+    left, right = some.select(F.col("d1").alias("a"), F.col("columns").alias("x")), some.select(F.col("d1").alias("b"), F.col("columns").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long, linked boolean")
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links; one row per row of ``docs``. n_links: links counted of the document's
-    set to other sets; not all links within a group need be counted, all groups are whole."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    first = written(_signatures(docs, words), "signatures")
-    slim = first.where("not column").drop("column")
-    hot = first.where("column").groupBy("d1").agg(F.sum("n").alias("n"))
-    hot = most_frequent(written(hot, "frequent"), "d1", HOT_COLUMNS).toPandas().sort_values(["n", "d1"])
-    hot = hot["d1"].to_numpy("int64").view(np.uint64).copy()
-    hot = docs.sparkSession.sparkContext.broadcast(hot)
-    whole = slim.where("n > 0 and doc_id is not null")
-    classes = written(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class")), "classes")
-    names = classes.groupBy(F.col("class").alias("doc_id")).agg(F.min("d1").alias("d1"))
-    rows = written(_first_columns(docs, words, percent, hot).join(names, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), "rows")
-    entries = rows.select("doc_id", "cold", F.posexplode("columns").alias("at", "column")).select("doc_id", "column", (F.col("at") >= F.col("cold")).alias("hot"))
-    # Most columns have one row: only the others' entries are kept, and then one of the columns with the same rows.
-    shared = entries.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("column")
-    several = written(entries.join(shared, "column", "left_semi"), "entries")
-    same = several.groupBy("column", "hot").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2"))
-    one = same.groupBy("rows", "s1", "s2").agg(F.min(F.struct("hot", "column")).alias("x")).select("x.column")
-    sizes = rows.select("doc_id", "n", "cold")
-    matrix = written(several.join(one, "column", "left_semi").join(sizes, "doc_id"), "matrix")
-    forget(several)
-    sketches = rows.select("doc_id", "n", "sketch")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        members = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        wanted = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        # At most BUCKETS rows of one integer.
-        buckets = members.select(wanted.alias("bucket")).distinct()
-        found = _sets(docs.join(F.broadcast(buckets), wanted == F.col("bucket"), "left_semi"), words)
-        return written(found.join(names.join(members, "doc_id", "left_semi"), ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), "sets")
-
-    # Two sets must share so many shingles. Rows that meet in a frequent column share frequent ones only, or else they
-    # meet in a rare one as well.
-    near = f"100 * least(m, n) >= {percent} * greatest(m, n) and (not hot or least(n - cold, m - c_cold) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+def _shared(percent: int) -> Column:
+    return F.expr(f"({percent} * n + 99) div 100")
+
+
+def _open_sets(first: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """d1, n, columns of the sets that the first bound doesn't rule out."""
+    some = first.where("n > 0").select("doc_id", "d1", "n", "first")
+    entries = some.select("d1", F.explode("first").alias("column"))
+    # A column whose entries are all of one set, copies included, is not shared.
+    alone = entries.groupBy("column").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
+    alone = alone.groupBy("d1").agg(F.count(F.lit(1)).alias("alone"))
+    c = _shared(percent)
+    sizes = some.groupBy("d1", "n").agg(F.min("doc_id").alias("doc_id"))
+    least = F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100 div 8"))
+    live = written(sizes.join(alone, "d1", "left").where(F.col("n") - c + least - F.coalesce("alone", F.lit(0)) >= least).select("d1", "n", "doc_id"), "open")
+    wanted = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    # At most BUCKETS rows of one integer.
+    buckets = live.select(wanted.alias("bucket")).distinct()
+    found = _sets(docs.join(F.broadcast(buckets), wanted == F.col("bucket"), "left_semi"), words)
+    return written(found.join(live.select("d1", "n"), ["d1", "n"], "left_semi").select("d1", "n", "columns").dropDuplicates(["d1"]), "sets")
+
+
+def _matrix(sets: DataFrame, percent: int) -> DataFrame:
+    """column, d1, n, at: each set's first columns from the rarest to the most frequent, of which others have some too;
+    at: how many of the set's columns come before."""
+    entries = sets.select("d1", "n", F.explode("columns").alias("column"))
+    counts = written(entries.groupBy("column").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "column-counts")
+    total = counts.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    is_hot = F.col("f") >= max(1000, total // HOT)
+    hot = F.broadcast(counts.where(is_hot))
+    shared = entries.join(hot, "column").unionByName(entries.join(hot, "column", "left_anti").join(counts.where(~is_hot), "column"))
+    row = W.partitionBy("d1")
+    placed = shared.select("d1", "n", "f", "column", (F.row_number().over(row.orderBy("f", "column")) - 1).alias("rank"), F.count(F.lit(1)).over(row).alias("others"))
+    placed = placed.select("d1", "n", "f", "column", (F.col("n") - F.col("others") + F.col("rank")).alias("at")).where(F.col("at") <= F.col("n") - _shared(percent))
+    placed = written(placed, "entries")
+    # Of the columns with the same rows the first in the order is kept: rows share it first as well.
+    same = placed.groupBy("column", "f").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("d1")).alias("s1"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("s2")).where("rows > 1")
+    one = same.groupBy("rows", "s1", "s2").agg(F.min(F.struct("f", "column")).alias("x")).select("x.column")
+    out = written(placed.join(one, "column", "left_semi").select("column", "d1", "n", "at"), "matrix")
+    forget(placed)
+    forget(counts)
+    return out
+
+
+def grouped(docs: DataFrame, keys: list[str] | tuple = (), words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    """doc_id, keys, n_shingles, component: one row per row of ``docs``; component is a number that connected documents
+    share, null for those without words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce("text", F.lit("")).alias("text"))
+    whole = written(_signatures(docs, list(keys), words, percent), "signatures")
+    slim = written(whole.drop("first"), "signed")
+    sets = _open_sets(whole, docs, words, percent)
+    forget(whole)
+    matrix = _matrix(sets, percent)
+    # Two sets must share so many shingles, and from their first shared column on they have no more than these.
+    near = f"100 * least(m, n) >= {percent} * greatest(m, n) and least(n - at, m - c_at) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}"
     done, roots = None, None
     for r in range(rounds + 1):
-        here = matrix if roots is None else written(matrix.join(roots, matrix["doc_id"] == roots["node"], "left").select("doc_id", "n", "cold", "hot", "column", F.coalesce("root", "doc_id").alias("root")), "matrix-rooted")
-        here = here.withColumn("root", F.col("doc_id")) if roots is None else here
-        open_ = here.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("turn") if r else F.col("cold").alias("turn"), F.col("doc_id").alias("c"), F.col("n").alias("m"), F.col("cold").alias("c_cold"), F.col("root").alias("c_root"))).alias("centre")).where("low != high")
+        if roots is None:
+            here = matrix.withColumn("root", F.col("d1"))
+        else:
+            here = written(matrix.join(roots, matrix["d1"] == roots["node"], "left").select("column", "d1", "n", "at", F.coalesce("root", "d1").alias("root")), "matrix-rooted")
         if r < rounds:
-            paired = here.join(open_.select("column", "centre.c", "centre.m", "centre.c_cold", "centre.c_root"), "column").where(f"root != c_root and {near}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
+            centre = F.min(F.struct(F.xxhash64("d1", F.lit(r)).alias("turn"), F.col("d1").alias("c"), F.col("n").alias("m"), F.col("at").alias("c_at"), F.col("root").alias("c_root")))
+            open_ = here.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre.alias("x")).where("low != high").select("column", "x.c", "x.m", "x.c_at", "x.c_root")
+            paired = here.join(open_, "column").where(f"root != c_root and {near}")
         else:
-            left = here.join(open_.select("column"), "column", "left_semi")
-            other = left.select("column", F.col("doc_id").alias("c"), F.col("n").alias("m"), F.col("cold").alias("c_cold"), F.col("root").alias("c_root"))
-            paired = left.join(other, "column").where(f"doc_id > c and root != c_root and {near}").select(F.col("c").alias("a"), F.col("doc_id").alias("b"))
-        pairs = paired.distinct()
+            # The largest group of each column; the rows outside of it are what is left to pair.
+            groups = here.groupBy("column", "root").agg(F.count(F.lit(1)).alias("size"))
+            largest = groups.groupBy("column").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("column", "main")
+            left = here.join(largest, "column").where("root != main").select("column", F.col("d1").alias("c"), F.col("n").alias("m"), F.col("at").alias("c_at"), F.col("root").alias("c_root"))
+            paired = here.join(left, "column").where(f"root != c_root and {near}")
+        pairs = paired.select(F.least("c", "d1").alias("a"), F.greatest("c", "d1").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(_possible(pairs, sketches, percent), "pairs")
-        found = written(_overlaps(pairs, sets_of(pairs), percent), "overlaps")
+        pairs = written(pairs, "pairs")
+        found = written(_overlaps(pairs, sets, percent), "overlaps")
         forget(pairs)
         done = found if done is None else done.unionByName(found)
-        links = done.where("linked").select("a", "b")
-        roots = written(components(links), "roots")
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(roots, classes["class"] == roots["node"], "left").join(degree, "node", "left").select("n", "d1", "d2", F.coalesce("root", "class").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    # Copies of one set may be a third of all rows; the class side has one row per set, and AQE splits the other.
-    out = slim.join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        roots = written(components(done.where("linked").select("a", "b")), "roots")
+    forget(sets)
+    named = slim.join(roots, slim["d1"] == roots["node"], "left")
+    return named.select("doc_id", *keys, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "d1")).alias("component"))
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component); one row per row of ``docs``."""
+    rows = written(grouped(docs, (), words, percent, rounds), "grouped")
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Copies of one set may be a third of all rows: the component side has one row each, and AQE splits the other.
+    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -6,7 +6,9 @@ sample of labelled documents; then, in each round, every document of the table o
 gives its counts to the other view. At last a logistic regression combines both views' scores for all documents.
 Naive Bayes needs counts only, so a round is one pass whose sums have a fixed size.
 
-Null text, lang, source or n_chars: an empty text or value of its own. Without labels of both kinds every document
+Null text, lang, source or n_chars: an empty text or value of its own. Very long texts: counted whole, one at a time.
+An empty table gives no rows. A doc_id with both labels counts as either; of documents that share a labelled doc_id one
+is learnt from. Without labels of both kinds every document
 is kept with score 1. Repeated rows are scored each. Other columns pass through ``keep`` untouched.
 """
 
@@ -19,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import forget, written
+
 TEXT, META = 1 << 15, 576
 #: Labelled documents used at most: three quarters to fit, the rest to calibrate.
 LABELLED = 4000
@@ -85,11 +89,14 @@ def chance(w: np.ndarray, *z: float) -> float:
 
 
 class CoTrained:
-    def __init__(self, text: np.ndarray, meta: np.ndarray, held: list[tuple]):
-        """text, meta: counts by class; held: (content, metadata, label) to calibrate on."""
+    """Both views over counts by class. Their scores are calibrated apart and together by what ``calibrate`` is given."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
         self.text, self.meta = View(text), View(meta)
-        z = np.array([self.scores(c, m) for c, m, _ in held])
-        y = np.array([label for *_, label in held], float)
+        self.by_text = self.by_meta = self.both = None
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
+        """z: scores of held documents by both views; y: their labels."""
         self.by_text, self.by_meta, self.both = logistic(z[:, :1], y), logistic(z[:, 1:], y), logistic(z, y)
 
     def scores(self, c: tuple, m: np.ndarray) -> tuple[float, float]:
@@ -107,30 +114,74 @@ def _documents(b: pa.RecordBatch, first: int = 0) -> Iterator[tuple]:
     return zip((t.as_py() for t in b.column(first)), *(b.column(first + k).to_pylist() for k in (1, 2, 3)), strict=True)
 
 
+#: What tasks send of the counts that they have summed.
+SUMS = "view int, quality int, at int, n double"
+
+
+def _sent(text: np.ndarray, meta: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for view, counts in enumerate((text, meta)):
+        q, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), view), pa.int32()), pa.array(q, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[q, at])], ["view", "quality", "at", "n"])
+
+
+def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of both views by class, from SUMS rows: at most 2 * (TEXT + META) rows reach the driver."""
+    got = parts.groupBy("view", "quality", "at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, TEXT)), np.zeros((2, META))
+    for view in (0, 1):
+        x = got[got["view"] == view]
+        out[view][x["quality"].to_numpy(int), x["at"].to_numpy(int)] = x["n"].to_numpy()
+    return out
+
+
+def _add(text: np.ndarray, c: tuple) -> None:
+    """A document's content, long or short, counts as a thousand trigrams."""
+    if len(c[0]):
+        text[c[0]] += c[1] / c[1].sum() * 1000
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """text, lang, source, n_chars, quality, fold of ``labelled`` labelled documents at most: one row for each label, the
+    least of those that share its doc_id."""
+    sample = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(labelled)
+    found = docs.select("doc_id", *_columns(docs)).join(F.broadcast(sample), "doc_id")
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    return one.select("d.*", "quality", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("fold"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = 2, sure: float = 0.97) -> CoTrained | None:
-    """None where the labels have not both kinds. ``labelled`` bounds the sample; pseudo-labels come from all of ``docs``."""
+    """None where the labels have not both kinds. ``labelled`` bounds the sample; pseudo-labels come from all of ``docs``.
+    Counts are summed by the tasks, and of the held documents (a quarter of the sample) only scores reach the driver."""
     spark = docs.sparkSession
-    sample = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(labelled)
-    known = docs.select("doc_id", *_columns(docs))
-    rows = known.join(F.broadcast(sample), "doc_id").select("text", "lang", "source", "n_chars", "quality", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("fold"))
+    rows = written(labelled_rows(docs, labels, labelled), "labelled")
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, meta = np.zeros((2, TEXT)), np.zeros((2, META))
         for b in batches:
-            found = [views(*d) for d in _documents(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c, _ in found], pa.list_(pa.int64())), pa.array([c[1] for c, _ in found], pa.list_(pa.float64())), pa.array([m for _, m in found], pa.list_(pa.int64())), b.column(4), b.column(5)], ["at", "n", "meta", "quality", "fold"])
-
-    found = rows.mapInArrow(featured, "at array<long>, n array<double>, meta array<long>, quality int, fold long").toPandas()
-    text, meta, held = np.zeros((2, TEXT)), np.zeros((2, META)), []
-    for at, n, m, q, fold in found.itertuples(index=False):
-        if fold == 0:
-            held.append(((np.asarray(at), np.asarray(n)), np.asarray(m), q))
-        else:
-            np.add.at(text[q], np.asarray(at, int), np.asarray(n) / max(np.sum(n), 1) * 1000)
-            np.add.at(meta[q], np.asarray(m, int), 1)
-    if not text.any() or len({q for *_, q in held}) < 2 or not (meta[0].any() and meta[1].any()):
+            for q, d in zip(b.column(4).to_pylist(), _documents(b), strict=True):
+                c, m = views(*d)
+                _add(text[q], c)
+                meta[q, m] += 1
+        yield from _sent(text, meta)
+
+    text, meta = _summed(rows.where("fold != 0").mapInArrow(counted, SUMS))
+
+    def calibrated(model: CoTrained) -> CoTrained | None:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = [model.scores(*views(*d)) for d in _documents(b)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in z], pa.float64()), pa.array([x for _, x in z], pa.float64()), b.column(4)], ["text", "meta", "quality"])
+
+        z = rows.where("fold = 0").mapInArrow(scored, "text double, meta double, quality int").orderBy("text", "meta", "quality").toPandas()
+        if z["quality"].nunique() < 2:
+            return None
+        model.calibrate(z[["text", "meta"]].to_numpy(), z["quality"].to_numpy(float))
+        return model
+
+    if not text.any() or not (meta[0].any() and meta[1].any()):
         return None
-    model = CoTrained(text, meta, held)
-    for _ in range(rounds):
+    model = calibrated(CoTrained(text, meta))
+    for _ in range(rounds if model else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def exchanged(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -142,25 +193,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
                     by_text, by_meta = chance(m.by_text, z[0]), chance(m.by_meta, z[1])
                     if by_text > sure or by_text < 1 - sure:
                         more_meta[int(by_text > 0.5), a] += 1
-                    if len(c[0]) and (by_meta > sure or by_meta < 1 - sure):
-                        more_text[int(by_meta > 0.5), c[0]] += c[1] / c[1].sum() * 1000
-            for view, counts in enumerate((more_text, more_meta)):
-                q, at = np.nonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), view), pa.int32()), pa.array(q, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[q, at])], ["view", "quality", "at", "n"])
-
-        sums = docs.select(*_columns(docs)).mapInArrow(exchanged, "view int, quality int, at int, n double").groupBy("view", "quality", "at").agg(F.sum("n").alias("n"))
-        # At most 2 * (TEXT + META) rows.
-        got = sums.toPandas()
+                    if by_meta > sure or by_meta < 1 - sure:
+                        _add(more_text[int(by_meta > 0.5)], c)
+            yield from _sent(more_text, more_meta)
+
         more = [text.copy(), meta.copy()]
-        for view in (0, 1):
-            x = got[got["view"] == view]
-            new = np.zeros_like(more[view])
-            new[x["quality"].to_numpy(int), x["at"].to_numpy(int)] = x["n"].to_numpy()
+        for counts, new in zip(more, _summed(docs.select(*_columns(docs)).mapInArrow(exchanged, SUMS)), strict=True):
             # Pseudo-labels of a class count as much as its labelled documents, however many they are.
             for q in (0, 1):
                 if new[q].sum():
-                    more[view][q] += new[q] * (more[view][q].sum() / new[q].sum())
-        model = CoTrained(*more, held)
+                    counts[q] += new[q] * (counts[q].sum() / new[q].sum())
+        model = calibrated(CoTrained(*more))
+        shared.unpersist()
+    forget(rows)
     return model
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, lm_scoring, ngram_join, packing, pii, quality, sharding, token_counts, url_filter
 from .common import table
-from .exact_dedup import DigestIndex
+from .exact_dedup import deduplicate
 
 
 def vocabulary(name: str) -> str:
@@ -42,17 +42,13 @@ def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Decisions on ``docs`` by an index of their own, which is dropped once they are written."""
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    try:
-        return index.add(docs)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {index.name}")
+def deduplicated(docs: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """Decisions on ``docs`` by an index of their own."""
+    return deduplicate(docs, f"digests_{uuid.uuid4().hex}", keys=keys)
 
 
 def op7_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(spark, table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import decontamination, lm_scoring, ngram_join, packing, pii, quality, queries, sharding, token_counts, url_filter
-from quarry.llm.exact_dedup import DigestIndex
+from quarry.llm.exact_dedup import DigestIndex, deduplicate
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, class string, bucket int"
@@ -58,7 +58,7 @@ def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string, host string")
     bpe, wpe = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-    for got in (pii.find(none), sharding.shard(none), url_filter.judge(pages), quality.judge(none, labels), quality.keep(none, labels), token_counts.count_tokens(none, bpe), packing.pack(none, wpe), queries.deduplicated(spark, none), ngram_join.join(none), decontamination.find(none, items), decontamination.clean(none, items), lm_scoring.score(none)):
+    for got in (pii.find(none), sharding.shard(none), url_filter.judge(pages), quality.judge(none, labels), quality.keep(none, labels), token_counts.count_tokens(none, bpe), packing.pack(none, wpe), queries.deduplicated(none), ngram_join.join(none), decontamination.find(none, items), decontamination.clean(none, items), lm_scoring.score(none)):
         assert got.count() == 0
 
 
@@ -295,20 +295,30 @@ def exact(rows):
 
 
 def test_exact_dedup(spark, docs):
-    assert sorted((tuple(r) for r in queries.deduplicated(spark, docs).collect()), key=str) == exact(ROWS)
+    assert sorted((tuple(r) for r in queries.deduplicated(docs).collect()), key=str) == exact(ROWS)
 
 
 def test_exact_dedup_index_grows(spark):
     index = DigestIndex(spark, "digests_test", buckets=4)
+    batches = [[(5, "a"), (7, "a"), (9, "b")], [(1, "a"), (2, "c"), (3, "c")], [(4, "c"), (6, None), (8, "a")]]
     try:
-        first = index.add(frame(spark, [(5, "a"), (7, "a"), (9, "b")])).collect()
-        second = {r.doc_id: r for r in index.add(frame(spark, [(1, "a"), (2, "c"), (3, "c")])).collect()}
-        third = {r.doc_id: r for r in index.add(frame(spark, [(4, "c"), (6, None)])).collect()}
+        first, second, third = ({r.doc_id: r for r in index.add(frame(spark, rows)).collect()} for rows in batches)
+        held = index.rows().count()
+        again = {r.doc_id: r for r in index.add(frame(spark, batches[1]), batch=1).collect()}
+        assert index.rows().count() == held
+        plan = index.rows().groupBy("digest").count()._jdf.queryExecution().toString()
     finally:
         spark.sql("DROP TABLE IF EXISTS digests_test")
-    assert {r.doc_id for r in first if r.kept} == {5, 9}
+    assert {i for i, r in first.items() if r.kept} == {5, 9} and first[5].group_size == 2
     assert (second[1].keep_id, second[1].kept, second[1].group_size) == (5, False, 3) and second[2].kept and not second[3].kept
-    assert third[4].keep_id == 2 and third[6].kept
+    assert (third[8].keep_id, third[8].group_size) == (5, 4) and (third[4].keep_id, third[4].group_size) == (2, 3) and third[6].kept
+    assert {i: (r.keep_id, r.kept) for i, r in again.items()} == {i: (r.keep_id, r.kept) for i, r in second.items()}
+    assert "Exchange" not in plan.partition("Physical Plan")[2]  # the buckets are read as they are
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_batches_give_one_answer(docs, batches):
+    assert sorted((tuple(r) for r in deduplicate(docs, f"digests_test_{batches}", batches=batches).collect()), key=str) == exact(ROWS)
 
 
 # 8
@@ -320,26 +330,46 @@ def shingle_set(t):
 
 
 def components(rows):
-    sets = [(i, s) for i, t in rows if i is not None and (s := shingle_set(t))]
-    root = {i: i for i, _ in rows}
+    """The smallest doc_id that each row reaches; rows are told apart by their place."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for k, (i, s) in enumerate(sets):
-        for j, r in sets[:k]:
+    for k, s in enumerate(sets):
+        for j, r in enumerate(sets[:k]):
             both = len(s & r)
-            if 100 * both >= 80 * (len(s) + len(r) - both):
-                a, b = find(i), find(j)
+            if both and 100 * both >= 80 * (len(s) + len(r) - both):
+                a, b = find(k), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) if i is not None else None for i in root}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [least.get(find(k)) for k in range(len(rows))]
+
+
+def joined(df, **how):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, **how).collect()), key=str)
 
 
 def test_ngram_join(docs):
-    want = components(ROWS)
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()), key=str) == sorted(((i, len(shingle_set(t)), want[i]) for i, t in ROWS), key=str)
+    want = sorted(((i, len(shingle_set(t)), c) for (i, t), c in zip(ROWS, components(ROWS), strict=True)), key=str)
+    assert joined(docs) == want
+    keyed = ngram_join.grouped(docs.withColumn("k", F.col("n_chars") + 1), ["k"])
+    assert keyed.columns == ["doc_id", "k", "n_shingles", "component"] and keyed.count() == len(ROWS)
+
+
+def test_ngram_join_bounds_hold():
+    # The first bound needs ``extra`` to grow no faster than ``least_shared``, at every similarity.
+    for percent in (50, 73, 80, 95, 100):
+        for n in range(1, 600):
+            c, d = (ngram_join.least_shared(x, percent) for x in (n, n + 1))
+            assert 0 <= ngram_join.extra(n + 1, percent) - ngram_join.extra(n, percent) <= d - c
+            assert 1 <= ngram_join.extra(n, percent) <= c
 
 
 def test_ngram_join_many_near_copies(spark):
@@ -351,9 +381,16 @@ def test_ngram_join_many_near_copies(spark):
         rows.append((i, " ".join(w)))
     common = words(30)
     rows += [(1000 + i, common + " " + words(rng.randrange(1, 60), 5000)) for i in range(150)]
-    want = components(rows)
-    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()} == want
-    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows), rounds=0).collect()} == want
+    # Shared ids, long texts with a few words changed, and short ones of frequent words only.
+    long = words(8000, 5000).split()
+    for k in range(3):
+        w = list(long)
+        w[100 * k] = "changed"
+        rows.append((7, " ".join(w)))
+    rows += [(3000 + i, " ".join(rng.choice(["a b c d e", "f g h i j", "k l m n o"]) for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    want = sorted(((i, len(shingle_set(t)), c) for (i, t), c in zip(rows, components(rows), strict=True)), key=str)
+    assert joined(frame(spark, rows)) == want
+    assert joined(frame(spark, rows), rounds=0) == want
 
 
 def test_unfinished_components_are_an_error(spark):
@@ -458,11 +495,44 @@ def test_pipeline_stages(spark, docs):
     stage = dict(p.STAGES)
     got = stage["exact dedup"](spark, docs, SF)
     assert got.columns == docs.columns
-    keep = {k for k in exact(ROWS) if k[3] or k[0] is None}
-    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((i for i, t in ROWS if i is None or any(k[0] == i for k in keep)), key=str)
+
+    def one_each(group):
+        """The doc_id of the row that stays of each group; groups of None keep their rows."""
+        best = {}
+        for (i, t), g in zip(ROWS, group, strict=True):
+            if g is not None:
+                best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+        return sorted([None if none else i for none, i in best.values()] + [i for (i, _), g in zip(ROWS, group, strict=True) if g is None], key=str)
+
+    assert sorted((r.doc_id for r in got.collect()), key=str) == one_each([normal(t) for _, t in ROWS])
     got = stage["n-gram Jaccard join"](spark, docs, SF)
-    root = components(ROWS)
     assert got.columns == docs.columns
-    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((i for i, _ in ROWS if i is None or root[i] == i), key=str)
+    ids = components([(k, t) for k, (_, t) in enumerate(ROWS)])
+    assert sorted((r.doc_id for r in got.collect()), key=str) == one_each([c if shingle_set(t) else None for c, (_, t) in zip(ids, ROWS, strict=True)])
     got = p.run(spark, SF).collect()
     assert got and len({(r.doc_id, r.start) for r in got}) == len(got)
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as p
+
+    rows = [(3, "same text"), (5, "same text"), (5, "a text of its own"), (7, "twice"), (7, "twice"), (None, "same text"), (None, "no id"), (None, "no id")]
+    for stage in (p.distinct_texts, p.distinct_groups):
+        got = sorted(((r.doc_id, r.text) for r in stage(spark, frame(spark, rows), SF).collect()), key=str)
+        assert got == sorted([(3, "same text"), (5, "a text of its own"), (7, "twice"), (None, "no id")], key=str)
+
+
+def test_pipeline_without_labels_or_benchmark(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(p.STAGES)
+    for name in ("quality classifier", "benchmark decontamination"):
+        assert stage[name](spark, docs, str(tmp_path)).count() == len(ROWS)
+    got = p.run(spark, str(tmp_path)).collect()
+    by_seq = collections.Counter()
+    for r in got:
+        by_seq[r.sequence_id] += r.length
+    assert got and max(by_seq.values()) <= 2048
