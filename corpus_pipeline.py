@@ -1,13 +1,20 @@
-"""From documents to packed training sequences: each stage's rows are written and read again by the next."""
+"""From documents to packed training sequences: each stage's rows are written and read again by the next.
+
+Each of the filtering stages keeps or drops whole rows, with all their columns. Rows are told apart by the place in the
+file that they are read from, so rows that share a doc_id, or have none, are decided each on its own. Null text counts
+as an empty one, of which exact dedup leaves one row; texts of any length are read whole; equal texts, and near ones,
+leave one row each. Without labels of both kinds, or without benchmark items, those stages keep every row; an empty
+table gives no rows.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import decontamination, ngram_join, packing, quality
-from quarry.llm.common import shared_dir, table
+from quarry.llm.common import ROW, numbered, shared_dir, table, written
 from quarry.llm.queries import deduplicated, vocabulary
 
 
@@ -15,17 +22,27 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """A row without a doc_id is no other's copy: it stays."""
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows of ``docs`` that are not among the numbers of ``gone``."""
+    return docs.join(gone.select(*ROW), list(ROW), "left_anti").drop(*ROW)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, deduplicated(spark, docs).where("not kept").select("doc_id"))
+    """One row of each text: the smallest doc_id that is not null; of several rows with that id, the first by ROW."""
+    docs = numbered(docs)
+    judged = deduplicated(docs, ROW)
+    first = judged.where("kept").groupBy("text_sha256").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = judged.where("kept").join(first, "text_sha256").where(F.struct(*ROW) != F.col("first"))
+    return without(docs, judged.where("not kept").select(*ROW).unionByName(again.select(*ROW)))
 
 
 def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, ngram_join.join(docs).where("component_id != doc_id").select("doc_id"))
+    """One row of each component: the smallest doc_id that is not null, then the first by ROW. Rows without words stay."""
+    docs = numbered(docs)
+    found = written(ngram_join.grouped(docs, ROW), "pipeline-groups").where("component is not null")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *ROW)
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return without(docs, found.join(first, "component").where(order != F.col("first")))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
