@@ -92,7 +92,7 @@ def deduplicate(docs: DataFrame, name: str, batches: int = 2, keys: list[str] |
     slim = written(slim_of(docs, keys), "digests")
     index = DigestIndex(spark, name)
     try:
-        cuts = slim.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02)
+        cuts = slim.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
         batch = F.lit(0)
         for cut in cuts:
             batch = batch + F.when(F.col("doc_id") > int(cut), 1).otherwise(0)
