@@ -4,8 +4,12 @@ An item may differ from its place in a document by a budget of edits, a part of
 pieces, at least one piece is there unchanged: an Aho-Corasick automaton finds all pieces' hits in the whole text,
 and Myers' bit-parallel algorithm gives the edit distance of the item to the place around each hit.
 
-Texts and items are compared with letters lower-cased and white space runs as one space. Null or blank texts and
-items match nothing. Repeated rows: each is searched. Benchmarks of any size: searched in blocks of bounded size.
+Texts and items are compared with letters lower-cased and white space runs as one space. The budget is ``percent`` of an
+item's length, rounded down: an item of fewer than 100 / percent characters must be there as it is. Null or blank texts
+and items match nothing; an empty benchmark finds nothing and keeps every row. Repeated rows: each is searched.
+Benchmarks of any size: searched block by block, one pass over the documents for each block of ``block_chars``
+characters. Very long texts: searched whole, one at a time, in memory that grows with that text. Other columns are
+ignored by ``find`` and pass through ``clean`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 FOUND = "doc_id long, item_id long, distance int, start long, end long"
 
 
@@ -106,16 +112,16 @@ class Searcher:
         return out
 
 
-def blocks(benchmark: DataFrame, percent: int, block_chars: int) -> list[Searcher]:
-    """Searchers of at most about ``block_chars`` characters each; items are dealt to them by hash."""
+def blocks(benchmark: DataFrame, percent: int, block_chars: int) -> Iterator[Block]:
+    """Blocks of at most about ``block_chars`` characters of items, which are dealt to them by hash. One is made at a
+    time: the driver and the tasks hold no more than one block's items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and trim(text) != ''")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // block_chars)
-    out = []
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        out.append([(r["item_id"], t) for r in rows if (t := normal(r["text"]))])
-    return [Block(x, percent) for x in out if x]
+        held = [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
+        if held:
+            yield Block(held, percent, n == 1)
 
 
 class Block:
@@ -123,12 +129,12 @@ class Block:
 
     built: dict = {}
 
-    def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items, self.percent, self.key = items, percent, (percent, hash_of(items))
+    def __init__(self, items: list[tuple[int, str]], percent: int, alone: bool = True):
+        self.items, self.percent, self.alone, self.key = items, percent, alone, (percent, hash_of(items))
 
     def searcher(self) -> Searcher:
         if self.key not in Block.built:
-            if len(Block.built) >= 4:
+            if len(Block.built) >= 2:
                 Block.built.clear()
             Block.built[self.key] = Searcher(self.items, self.percent)
         return Block.built[self.key]
@@ -153,6 +159,8 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_chars: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "distance", "start", "end"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, FOUND)
+        if not block.alone:  # written, so that no later block is held together with this one
+            part = written(part, "found")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -169,4 +177,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_chars:
                 yield pc.filter(b, keep) if isinstance(b, pa.Table) else b.filter(keep)
 
         docs = docs.mapInArrow(batches, docs.schema)
+        if not block.alone:
+            docs = written(docs, "clean")
     return docs

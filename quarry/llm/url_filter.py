@@ -4,7 +4,9 @@ Rules judge first (the longest that fits). Hosts of allowed pages seed a persona
 of blocked pages one against them; a host whose distrust exceeds its trust is blocked, else allowed. Edges are
 links to other hosts in the pages' HTML and, as many sites link by relative paths only, the tie between a host
 and its parent domain where both occur as hosts or parents (``family``). A url that is null or has no ``://`` has
-empty host and path and no edges, and is allowed. Null html: no links. Repeated rows count as pages of their own.
+empty host and path and no edges, and is allowed. Null html: no links. Repeated rows count as pages of their own. Empty
+table: no rows. Very long pages: their links are found by one pattern in the JVM. Columns other than page_id, url and
+html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from .common import ascii_lower, written
 
 #: Fixed values of the contract: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-LINK = "(?i)href\\s{0,3}=\\s{0,3}[\"']?(?:https?:)?//([^/?#\"'\\s<>]+)"
+LINK = "(?i)href\\s*=\\s*[\"']?(?:https?:)?//([^/?#\"'\\s<>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -36,24 +38,33 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, change: float = 1e-3, most: int = 240, damping: float = 0.85, every: int = 6) -> DataFrame:
     """Personalised PageRank of several kinds at once. edges: kind, src, dst, weight; seeds: kind, host, seed (summing
-    to 1 by kind). Mass at hosts without links goes back to the seeds. Returns kind, host, score."""
+    to 1 by kind). Returns kind, host, score, summing to 1 by kind.
+
+    Mass at hosts without links goes back to the seeds. Such ranks are those of the plain series of ever longer walks
+    from the seeds, scaled to sum to 1, so that no round needs the mass that got lost. Each round adds the walks that
+    are one link longer; their mass falls by ``damping`` at least from round to round, so the rounds that it takes until
+    ``every`` of them add less than ``change`` of the mass of each kind have a bound whatever the graph's size."""
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    steps = written(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "host-steps")
-    ranks = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(rounds):
-        moved = ranks.join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        left = moved.groupBy("kind").agg((1 - F.sum("score")).alias("left"))
+    steps = written(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share")), "host-steps")
+    start = seeds.select("kind", "host", F.col("seed").alias("score"))
+    ranks, was = start, {}
+    for _ in range(0, most, every):
+        for _ in range(every):
+            moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
+            ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        ranks = written(ranks, "host-ranks")
         # A row for each kind: two at most.
-        home = seeds.join(F.broadcast(left), "kind", "left").select("kind", "host", (F.col("seed") * F.coalesce("left", F.lit(1.0))).alias("score"))
-        ranks = moved.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % every == 0 or i + 1 == rounds:
-            ranks = written(ranks, "host-ranks")
-    return ranks
+        mass = {r["kind"]: r["mass"] for r in ranks.groupBy("kind").agg(F.sum("score").alias("mass")).collect()}
+        if all(m - was.get(k, 0.0) < change * m for k, m in mass.items()):
+            scale = F.broadcast(ranks.groupBy("kind").agg(F.sum("score").alias("mass")))
+            return ranks.join(scale, "kind").select("kind", "host", (F.col("score") / F.col("mass")).alias("score"))
+        was = mass
+    raise RuntimeError(f"propagate: ranks still change by more than {change} after {most} rounds")
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = 12, threshold: float = 1.0, family: bool = True) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, change: float = 1e-3, threshold: float = 1.0, family: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust; one row per row of ``pages``."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -74,7 +85,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 12, threshold: float = 1.
         links = links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     edges = written(links, "host-edges")
     ways = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight").withColumn("kind", F.lit("distrust")))
-    scores = propagate(ways, seeds, rounds)
+    scores = propagate(ways, seeds, change)
     hosts = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
     hosts = hosts.withColumn("method", F.when(F.col("distrust") > F.col("trust") * threshold, "block").otherwise("allow"))
     # A host may hold a third of all pages: AQE splits its partition of this join, and the host side is one row each.
