@@ -5,7 +5,9 @@ these names: contacts (addresses written out, local phone numbers) and credentia
 with their names). It is trained on a small labelled table, made here from a rule, and decoded by Viterbi over all
 words of a text, in overlapping windows.
 
-Null text: empty. Repeated rows: each is searched. Base spans stay; an added span never overlaps one.
+Null text: empty. Empty table: no rows. Repeated rows: each is searched. Very long texts: searched whole, in time that
+grows with their length; a batch of texts is held at a time. Base spans stay; an added span never overlaps one. Columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: From the start of a run of digits only: it finds the same, without a new try at each of a long run's digits.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -45,11 +49,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The contract's pattern, searched from its at signs: each run of letters before one is walked over once."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        m = AT_DOMAIN.match(text, at) if start < at else None
+        if m:
+            end = m.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        out += [(a, b, "email") for a, b in emails(text)]
     if "." in text:
         out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -63,11 +81,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def shape(word: str) -> str:
     """Runs of lower-case, upper-case letters and digits as a, A, 0; other characters as they are."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != k or k not in "0Aa":
             out.append(k)
-    return "".join(out[:24])
+    return "".join(out)
 
 
 @lru_cache(1 << 17)
@@ -75,29 +93,40 @@ def _id(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-def own_features(w: str, form: str) -> list[int]:
+def spelling(w: str) -> str | None:
+    """What of a word may be a feature as it is spelt: short ones, and names before an equals sign or with brackets."""
+    return w.lower().split("=")[0] if len(w) <= 8 and w.isalpha() or _OPENS.search(w) else None
+
+
+def spellings(table: list[tuple[list[str], list[str]]]) -> frozenset[str]:
+    """The spellings of a labelled table. Others are no features: nothing was learnt of them."""
+    words = {w for sentence, _ in table for w in sentence}
+    return frozenset({spelling(w) for w in words} | {w.lower() for w in words if len(w) <= 8} - {None})
+
+
+def own_features(w: str, form: str, spelt: frozenset[str]) -> list[int]:
     plain = w.isalpha()
     digits = 0 if plain else sum(c.isdigit() for c in w)
     letters = len(w) if plain else sum(c.isalpha() for c in w)
     here = [_id("s:" + form), _id(f"n:{min(len(w), 40) // 4}"), _id(f"d:{min(digits, 20)}"), _id(f"l:{min(letters, 20) // 3}"), _id("p:" + w[:1]), _id("e:" + w[-1:]), _id(f"mix:{digits > 3 and letters > 3}")]
-    if letters == len(w) and len(w) <= 8 or "[" in w or "(" in w or "=" in w:
-        here.append(_id("w:" + w.lower().split("=")[0]))
+    if (name := spelling(w)) in spelt:
+        here.append(_id(f"w:{name}"))
     if len(w) >= 12:
         here.append(_id("q:" + w[:4]))
     return here
 
 
-def near_features(name: str, near: str, form: str) -> list[int]:
-    return [_id(name + form), _id(name + "w" + near.lower())] if len(near) <= 8 else [_id(name + form)]
+def near_features(name: str, near: str, form: str, spelt: frozenset[str]) -> list[int]:
+    return [_id(name + form), _id(name + "w" + near.lower())] if len(near) <= 8 and near.lower() in spelt else [_id(name + form)]
 
 
 #: Places of the neighbours that a word's features name, and beyond the ends of a window EDGE.
 PLACES, EDGE = ((-1, "b"), (1, "a"), (-2, "bb")), "\n"
 
 
-def word_features(words: list[str], i: int) -> list[int]:
+def word_features(words: list[str], i: int, spelt: frozenset[str]) -> list[int]:
     near = [(name, words[i + k] if 0 <= i + k < len(words) else EDGE) for k, name in PLACES]
-    return own_features(words[i], shape(words[i])) + [x for name, w in near for x in near_features(name, w, shape(w))]
+    return own_features(words[i], shape(words[i]), spelt) + [x for name, w in near for x in near_features(name, w, shape(w), spelt)]
 
 
 def labelled_table(spark: SparkSession, rows: int = 600, seed: int = 7) -> DataFrame:
@@ -158,62 +187,58 @@ def _labelled(rows: int, seed: int) -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def alike(w: str) -> str:
-    """A word with the very same features: of long words, lower-case letters in the middle are in none."""
+def alike(w: str, spelt: frozenset[str]) -> str:
+    """A word with the very same features: of words whose spelling is none, lower-case letters in the middle count only
+    by their number (from the fifth letter on in words of twelve or more)."""
     n = len(w)
-    if 9 <= n <= 40:
+    if 3 <= n <= 40 and not _OPENS.search(w) and (n > 8 or w.lower() not in spelt):
         head = 4 if n >= 12 else 1
-        for tail in (1, 4):
+        for tail in (1, 2, 4):
             middle = w[head : n - tail]
-            if middle.isalpha() and middle.islower() and not _OPENS.search(w):
-                return w[:head] + "a" * len(middle) + w[n - tail :]
+            if middle.isalpha() and middle.islower():
+                for letter in "aqxz":
+                    v = w[:head] + letter * len(middle) + w[n - tail :]
+                    if n > 8 or v.lower() not in spelt:
+                        return v
     return w
 
 
 _OPENS = re.compile(r"[\[(=]")
 #: Words whose scores a field holds before it starts anew.
-WORDS = 200_000
+WORDS = 400_000
 
 
 class ChainField:
-    """State weights by feature and label, and transitions between labels."""
+    """State weights by feature and label, transitions between labels, and the spellings that are features."""
 
-    def __init__(self, state: np.ndarray, move: np.ndarray):
-        self.state, self.move = state.astype(np.float32), move.astype(np.float32)
+    def __init__(self, state: np.ndarray, move: np.ndarray, spelt: frozenset[str] = frozenset()):
+        self.state, self.move, self.spelt = state.astype(np.float32), move.astype(np.float32), spelt
         self.known, self.by_word = {}, np.empty((0, 1 + len(PLACES), state.shape[1]), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"state": self.state, "move": self.move}
+        return {"state": self.state, "move": self.move, "spelt": self.spelt}
 
     def __setstate__(self, held: dict) -> None:
-        self.__init__(held["state"], held["move"])
+        self.__init__(**held)
 
     def look_up(self, words: set[str]) -> None:
         """Fills ``by_word``: its own score by label, and what it adds to that of the words it is a neighbour of, by PLACES."""
         if len(self.known) > WORDS:
             self.known, self.by_word = {}, self.by_word[:0]
-        like = {w: alike(w) for w in words if w not in self.known}
+        like = {w: alike(w, self.spelt) for w in words if w not in self.known}
         new = [*([] if self.known else [EDGE]), *(set(like.values()) - self.known.keys())]
         if new:
-            # Short words of lower-case letters differ by first and last letter and length, and by the features that spell them.
-            short = [len(w) <= 8 and w.isalpha() and w.islower() for w in new]
-            keys = [(w[0], w[-1], len(w)) if x else w for w, x in zip(new, short, strict=True)]
-            rows = {k: i for i, k in enumerate(dict.fromkeys(keys))}
             flat, at = [], []
-            for k in rows:
-                w = k if isinstance(k, str) else (k[0] + "a" * (k[2] - 2) + k[1])[-k[2] :]
+            for w in new:
                 form = shape(w)
-                lists = [own_features(w, form), *(near_features(name, w, form) for _, name in PLACES)]
-                for f in lists:
+                for f in (own_features(w, form, self.spelt), *(near_features(name, w, form, self.spelt) for _, name in PLACES)):
                     at.append(len(flat))
-                    flat += f if isinstance(k, str) else f[:-1]
-            found = np.add.reduceat(self.state[flat], at).reshape(len(rows), 1 + len(PLACES), -1)[[rows[k] for k in keys]]
-            names = ("w:", *(name + "w" for _, name in PLACES))
-            spelt = [zlib.crc32((name + low).encode("utf-8", "surrogatepass")) % FEATURES for w, x in zip(new, short, strict=True) if x for low in (w.lower(),) for name in names]
-            found[np.array(short, bool)] += self.state[spelt].reshape(-1, len(names), found.shape[2])
+                    flat += f
+            found = np.add.reduceat(self.state[flat], at).reshape(len(new), 1 + len(PLACES), -1)
             self.known.update(zip(new, range(len(self.by_word), len(self.by_word) + len(new)), strict=True))
             self.by_word = np.concatenate([self.by_word, found])
-        self.known.update((w, self.known[v]) for w, v in like.items())
+        known = self.known
+        known.update([(w, known[v]) for w, v in like.items()])
 
     def scores(self, windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by window, place and label, padded; and the windows' lengths. Each distinct word is looked up once."""
@@ -221,7 +246,7 @@ class ChainField:
         self.look_up(set().union(*windows) - {EDGE})
         ids = np.full((len(windows), lengths.max() + 3), self.known[EDGE])
         for x, w in enumerate(windows):
-            ids[x, 2 : 2 + len(w)] = [self.known[v] for v in w]
+            ids[x, 2 : 2 + len(w)] = list(map(self.known.__getitem__, w))
         end = ids.shape[1] - 1
         out = self.by_word[ids[:, 2:end], 0]
         for at, (k, _) in enumerate(PLACES, 1):
@@ -263,7 +288,8 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 25, batch: int
     """Maximum likelihood by AdaGrad on forward-backward gradients."""
     k = len(LABELS)
     names = {n: i for i, n in enumerate(LABELS)}
-    feats = [[word_features(w, i) for i in range(len(w))] for w, _ in table]
+    spelt = spellings(table)
+    feats = [[word_features(w, i, spelt) for i in range(len(w))] for w, _ in table]
     gold = [[names[x] for x in y] for _, y in table]
     state, move = np.zeros((FEATURES, k)), np.zeros((k, k))
     state2, move2 = np.full_like(state, 1e-6), np.full_like(move, 1e-6)
@@ -304,7 +330,7 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 25, batch: int
             move2 += g_move**2
             state -= rate * g_state / np.sqrt(state2)
             move -= rate * g_move / np.sqrt(move2)
-    return ChainField(state, move)
+    return ChainField(state, move, spelt)
 
 
 def windows_of(n: int, longest: int) -> list[tuple[int, int, int, int]]:
@@ -328,12 +354,12 @@ def labels_of(texts: list[list[str]], field: ChainField, longest: int = 256) ->
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], field: ChainField, longest: int = 256) -> list[list[tuple[int, int, str]]]:
     """What the field adds to each text."""
-    places = [[m.span() for m in _WORD.finditer(t)] for t in texts]
-    found = labels_of([[t[p:q] for p, q in spans] for t, spans in zip(texts, places, strict=True)], field, longest)
+    found = labels_of([_WORD.findall(t) for t in texts], field, longest)
     out: list[list] = [[] for _ in texts]
-    for x, (spans, labels) in enumerate(zip(places, found, strict=True)):
+    for x, labels in enumerate(found):
         if not any(labels):
             continue
+        spans = [m.span() for m in _WORD.finditer(texts[x])]
         start = None
         for i, y in enumerate([*labels, 0]):
             name = LABELS[y]

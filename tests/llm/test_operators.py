@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,20 @@ def test_pii_base(docs):
     assert got[2].base_sha256 == got[3].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
 
 
+def test_pii_base_on_any_text():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "b1", "@", "@", ".", "..", "-", "%", " ", "1", "22", "256", "é"]) for _ in range(rng.randrange(1, 40)))
+        got = pii.base_spans(t)
+        assert [s[:2] for s in got if s[2] == "email"] == [m.span() for m in email.finditer(t)]
+        assert [s[:2] for s in got if s[2] == "ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    began = time.time()
+    for run in ("a" * 4_000_000, "1" * 4_000_000):
+        assert pii.base_spans(run + " x@y.zz")[-1][2] == "email"
+    assert time.time() - began < 20
+
+
 def test_pii_viterbi_is_the_best_path():
     g = np.random.default_rng(3)
     field = pii.ChainField(g.normal(size=(pii.FEATURES, 3)), g.normal(size=(3, 3)))
@@ -142,7 +157,7 @@ def test_pii_windows_leave_nothing_out():
     words = [w for some, _ in pii._labelled(150, 5) for w in some]
     assert pii.labels_of([words], field) == field.decode([words])
     odd = [*words[:300], "abcdefghijkl", "Abcdefghijkl,", "ABCDefghijklM", "abcdefghij(", "éàüñöabcdefg9", "漢字漢字漢字漢字漢字", "a" * 100, "abcdefghi=", "ab(defghijkl", "a", "é", "ab", "abc", "abcdefgh", "abcdefghi", "ſtraße", "abcdefgh###", "Abcdefghijk&&&", "ABcdefgh,", "漢", "a\u0301b"]
-    want = [field.state[pii.word_features(odd, i)].sum(axis=0) for i in range(len(odd))]
+    want = [field.state[pii.word_features(odd, i, field.spelt)].sum(axis=0) for i in range(len(odd))]
     assert np.allclose(field.scores([odd])[0][0, : len(odd)], want, atol=1e-4)
 
 
