@@ -90,24 +90,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of the pairs (a, b)."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            out = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                out.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
+    """a, b, linked of the pairs (a, b), by their whole sets; in the JVM, so that no batch of sets is held beside them."""
     members = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
     some = sets.join(members, "d1", "left_semi")
     left, right = some.select(F.col("d1").alias("a"), F.col("columns").alias("x")), some.select(F.col("d1").alias("b"), F.col("columns").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long, linked boolean")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    return both.select("a", "b", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("linked"))
 
 
 def _shared(percent: int) -> Column:
