@@ -30,13 +30,20 @@ def strip_non_alphanumeric(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-z0-9.\-\s;\\,]", "")
 
 
+#: Fixed value: what a domain is given with, case as written, and what may follow it; other spellings stay as they are.
+DOMAIN_PARTS = r"^(?:https?://)?([^/]*).*$"
+
+
 def normalize_domain(c: Column) -> Column:
-    """Trimmed, without scheme, path and www (both matched as they are written), then lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "^https?://", ""), "/.*$", ""), r"^www\.", ""))
+    """The host part of what is given, lower case, less one leading ``www.`` that is written so."""
+    found = F.regexp_extract(F.trim(c), "(?s)" + DOMAIN_PARTS, 1)
+    return F.lower(F.when(found.startswith("www."), F.substring(found, F.lit(5), F.length(found))).otherwise(found))
 
 
 def valid_domain(c: Column) -> Column:
-    return c.rlike(r"^(?!-)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
+    """Two labels at least, each of letters, digits and hyphens only; the first doesn't begin with a hyphen."""
+    labels = F.split(c, r"\.")
+    return (F.size(labels) > 1) & F.forall(labels, lambda x: x.rlike("^[A-Za-z0-9-]+$")) & ~c.startswith("-")
 
 
 def parse_domains(c: Column) -> Column:
@@ -69,14 +76,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def page_urls(pattern: Column, total: Column, start: Column | None = None) -> Column:
-    """URLs of numbered pages: the first {page_num} replaced; none when total is below 1."""
+def page_urls(pattern: Column, total: Column, start: Column | None = None, kind: Column | None = None) -> Column:
+    """A struct: urls of numbered pages, the first {page_num} replaced, none when total is below 1; or an error (and
+    null urls) for a blank pattern or one without the placeholder. kind: offset has no pages; null is page_num."""
     first = F.lit(1) if start is None else F.coalesce(start, F.lit(1))
+    pattern = F.trim(pattern)
+    offset = F.lit(False) if kind is None else F.coalesce(kind == "offset", F.lit(False))
     at = F.instr(pattern, "{page_num}")
-    head, tail = F.expr("NULL"), None
-    head = F.substring(pattern, F.lit(1), at - 1)
-    tail = F.substring(pattern, at + F.length(F.lit("{page_num}")), F.length(pattern))
-    return F.when((total >= 1) & (at > 0), F.transform(F.sequence(first, first + total - 1), lambda n: F.concat(head, n.cast("string"), tail))).otherwise(F.array().cast("array<string>"))
+    error = F.when(pattern.isNull() | (pattern == ""), "blank pattern").when(~offset & (at == 0), "pattern has no {page_num}")
+    head, tail = F.substring(pattern, F.lit(1), at - 1), F.substring(pattern, at + len("{page_num}"), F.length(pattern))
+    none = F.array().cast("array<string>")
+    numbered = F.transform(F.sequence(first, first + total - 1), lambda n: F.concat(head, n.cast("string"), tail))
+    return F.struct(F.when(error.isNull(), F.when(~offset & (total >= 1), numbered).otherwise(none)).alias("urls"), error.alias("error"))
 
 
 def should_notify(preference: Column, is_own: Column) -> Column:

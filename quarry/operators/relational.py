@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quarry.operators import ranks
 
 
 def where(df: DataFrame, *conditions: Column | None) -> DataFrame:
@@ -30,13 +32,12 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def sample_percent(df: DataFrame, order: list[Column], percent: float) -> DataFrame:
-    """The first ceil(total * percent / 100) rows of an order. The total is one number; the rows are a top-k."""
-    total = df.count()
-    return df.orderBy(*order).limit(max(0, -int(-total * percent // 100)))
+    """The first ceil(total * percent / 100) rows of an order."""
+    return ranks.first_rows(df, order, percent / 100)
 
 
-def suffixed(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
-    """The k-th row of a key gets ``key-k`` from the second on; null and blank keys stay."""
-    k = F.row_number().over(W.partitionBy(key).orderBy(order))
+def suffixed(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """The k-th row of a key gets ``key-k`` from the second on; null and blank keys stay as they are and aren't counted."""
     text = F.col(key).cast("string")
-    return df.withColumn(out, F.when(text.isNull() | (F.trim(text) == "") | (k == 1), text).otherwise(F.concat_ws("-", text, k.cast("string"))))
+    counted = ranks.placed(df.withColumn("_key", F.when(F.trim(text) != "", text)), "_key", order, "_k")
+    return counted.withColumn(out, F.when(F.col("_k") > 1, F.concat_ws("-", text, F.col("_k").cast("string"))).otherwise(text)).drop("_key", "_k")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from quarry.functions import html, robots, text
+from quarry.functions import html, robots, text, urls
 from quarry.functions.ordering import key
-from quarry.operators import relational as rel
+from quarry.operators import relational as rel, verification
 from quarry.plans import crawl
 
 QUERIES: dict = {}
@@ -105,10 +105,10 @@ _DOMAINS = ("example.com", "blog.example.com", "ththre.example.com", "example.or
 
 
 @query(f"""SELECT page_id, host, domain, CASE WHEN host = domain THEN 3 WHEN host LIKE '%.' || domain OR domain LIKE '%.' || host THEN 2 WHEN contains(host, domain) THEN 1 ELSE 0 END AS score
-    FROM (SELECT page_id, {HOST} AS host FROM pages), (SELECT unnest({list(_DOMAINS)}) AS domain)
+    FROM (SELECT page_id, regexp_replace(regexp_replace({HOST}, ':[0-9]*$', ''), '^www[.]', '') AS host FROM pages), (SELECT unnest({list(_DOMAINS)}) AS domain)
     QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(domain) DESC, domain) = 1""")
 def a32_domain_rank(t):
-    hosts = t.pages.select("page_id", F.expr(HOST).alias("host"))
+    hosts = t.pages.select("page_id", F.regexp_replace(urls.host(F.col("url")), "^www[.]", "").alias("host"))
     scored = F.transform(F.array(*map(F.lit, _DOMAINS)), lambda d: F.struct((-text.domain_match(d, F.col("host"))).alias("s"), (-F.length(d)).alias("l"), d.alias("domain")))
     best = F.array_min(scored)
     return hosts.select("page_id", "host", best["domain"].alias("domain"), (-best["s"]).alias("score"))
@@ -209,8 +209,7 @@ _DOMAIN = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '^http
 
 @query(f"SELECT domain, count(*) AS pages FROM (SELECT {_DOMAIN} AS domain FROM pages) GROUP BY 1")
 def a70_domain_backfill(t):
-    pages = t.pages.select("page_id", text.normalize_domain(F.col("url")).alias("domain"))
-    return pages.join(pages.select("domain").distinct(), "domain").groupBy("domain").agg(F.count(F.lit(1)).alias("pages"))
+    return t.pages.groupBy(text.normalize_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"[^\"]+\">[^<]+</a>')) > 0 AS has_links, true AS has_text FROM pages")
@@ -229,7 +228,7 @@ def b05_link_extract(t):
 
 @query("SELECT n_nationkey, 'https://x.edu/?page=' || i AS page_url FROM nation, range(0, 25) r(i) WHERE i < n_nationkey")
 def b06_page_urls(t):
-    return t.nation.select("n_nationkey", F.explode(text.page_urls(F.lit("https://x.edu/?page={page_num}"), F.col("n_nationkey"), F.lit(0))).alias("page_url"))
+    return t.nation.select("n_nationkey", F.explode(text.page_urls(F.lit("https://x.edu/?page={page_num}"), F.col("n_nationkey"), F.lit(0))["urls"]).alias("page_url"))
 
 
 @query(f"SELECT {HOST} AS host, min(page_id) AS page_id, count(*) AS pages FROM pages GROUP BY 1")
@@ -262,13 +261,9 @@ def b18_preprocess(t):
 
 @query(f"SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains({_PRE.format('documents.text')}, {_PRE.format('b.text')})")
 def b20_inclusion(t):
-    """The items are a bounded, checked list: each document is held against all of them in one pass."""
-    items = t.benchmark.select("item_id", text.preprocess(F.col("text")).alias("p")).limit(100_001).collect()
-    if len(items) > 100_000:
-        raise ValueError("more items than one list may hold: use the multi-pattern search")
-    lists = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["p"]).alias("p")) for r in items))
-    d = t.documents.select("doc_id", text.preprocess(F.col("text")).alias("p"))
-    return d.select("doc_id", F.explode(F.filter(lists, lambda x: F.col("p").contains(x["p"]))["item_id"]).alias("item_id"))
+    """Items meet documents by one of their windows: of each item's first characters the window with the smallest hash.
+    Items shorter than a window (a stated, small set of texts) are held against every document in blocks."""
+    return verification.included_items(t.documents.select("doc_id", text.preprocess(F.col("text")).alias("p")), t.benchmark.select("item_id", text.preprocess(F.col("text")).alias("q")))
 
 
 @query("""SELECT doc_id, len(c) AS chunks, abs(len(c) - 10) <= 1 AS accepted FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS c FROM documents)""")
@@ -314,8 +309,8 @@ def b44_verification(t):
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN l_partkey::VARCHAR ELSE l_partkey || '-' || k END AS external_id FROM
     (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS k FROM lineitem)""")
 def b45_id_suffix(t):
-    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    return rel.suffixed(t.lineitem.withColumn("item", order), "l_partkey", "item", "external_id").select("l_orderkey", "l_linenumber", "external_id")
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    return rel.suffixed(t.lineitem, "l_partkey", order, "external_id").select("l_orderkey", "l_linenumber", "external_id")
 
 
 @query("SELECT p_partkey, round((greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")

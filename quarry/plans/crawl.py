@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.operators import ranks
+
 MAX_DEPTH = 8
 
 
@@ -14,14 +16,12 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFr
         found = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = found.join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(frontier)
-        if frontier.sparkSession.sparkContext.getCheckpointDir() and d % 3 == 0:
-            seen, frontier = seen.checkpoint(), frontier.checkpoint()
+        if d % 3 == 0:  # written, or each level would plan all levels before it twice
+            seen = ranks.written(seen, "seen")
+            frontier = seen.where(F.col("depth") == d)
     return seen
 
 
 def slots(pages: DataFrame, interval_ms) -> DataFrame:
     """The start of each fetch so that a host is met once in an interval: its place among the host's pages by id."""
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1
-    return pages.withColumn("start_ms", (turn * interval_ms).cast("long"))
+    return ranks.placed(pages, "host", ["page_id"], "turn").withColumn("start_ms", ((F.col("turn") - 1) * interval_ms).cast("long")).drop("turn")

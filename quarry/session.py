@@ -1,10 +1,18 @@
-"""A session with the settings that the queries assume: UTC, adaptive execution."""
+"""A session's folder for tables between two steps."""
+
+from __future__ import annotations
+
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def session(name: str = "quarry", **conf: str) -> SparkSession:
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    for k, v in conf.items():
-        b = b.config(k.replace("_", "."), v)
-    return b.getOrCreate()
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share, of the session's spark.checkpoint.dir; a temporary one only on a local master."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
