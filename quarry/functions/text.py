@@ -109,6 +109,11 @@ def file_name(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
 
 
+def day_bounds(first: Column, last: Column) -> tuple[Column, Column]:
+    """The first and the last millisecond of a span of days given as dates."""
+    return F.to_timestamp(F.concat(first, F.lit(" 00:00:00"))), F.to_timestamp(F.concat(last, F.lit(" 23:59:59.999")))
+
+
 def robots_allows(path: Column, allow: Column, disallow: Column) -> Column:
     """No disallow: allowed. Any allow pattern that fits wins; else none of the disallow patterns may fit."""
     def fits(p):
