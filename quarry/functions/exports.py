@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.functions import urls
 
 #: Column names, constants and names of the templates, in their order.
-NO_CREDIT_TYPE = "Unknown"
+NO_CREDIT_TYPE = "This has credit value, but the type cannot be determined"
 CATEGORIES = {"outcomes": "Course Level Student Learning Outcome(s)", "course_objectives": "Course Objectives"}
 FRAMEWORK, COMPETENCY = "ceasn:CompetencyFramework", "ceasn:Competency"
 

@@ -49,56 +49,78 @@ def parse(html: str) -> _Node:
     return t.root
 
 
-def _inline(node: _Node) -> str:
-    return re.sub(r"\s+", " ", "".join(c if isinstance(c, str) else _render(c) for c in node.children))
+def _squeezed(text: str) -> str:
+    return re.sub(r"\s+", " ", text)
 
 
-def _render(n: _Node) -> str:
-    if n.tag in _DROP:
-        return ""
+def _tidy(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ ]+(?=\n)", "\n", text)).strip()
+
+
+def _wrapped(n: _Node, parts: list[str]) -> str:
+    """An element around its children's Markdown."""
+    inside = "".join(parts)
     if re.fullmatch(r"h[1-6]", n.tag):
-        text = _inline(n).strip()
+        text, level = _squeezed(inside).strip(), int(n.tag[1])
         if not text:
             return ""
-        level = int(n.tag[1])
         return f"\n\n{text}\n{('=' if level == 1 else '-') * len(text)}\n\n" if level < 3 else f"\n\n{'#' * level} {text}\n\n"
     if n.tag == "a" or n.tag == "button" and n.attrs.get("number", "...") != "...":
-        text, href = _inline(n).strip(), n.attrs.get("href") if n.tag == "a" else f"/courses?page={n.attrs['number']}"
+        text, href = _squeezed(inside).strip(), n.attrs.get("href") if n.tag == "a" else f"/courses?page={n.attrs['number']}"
         return f"[{text}]({href})" if href and text else text
     if n.tag == "button" and "number" in n.attrs:
         return ""
     if n.tag in ("b", "strong", "i", "em"):
-        text, mark = _inline(n), "**" if n.tag in ("b", "strong") else "_"
+        text, mark = _squeezed(inside), "**" if n.tag in ("b", "strong") else "_"
         return f"{mark}{text.strip()}{mark}" if text.strip() else text
     if n.tag == "br":
         return "  \n"
     if n.tag == "hr":
         return "\n\n* * *\n\n"
     if n.tag in ("ul", "ol"):
-        items = [c for c in n.children if isinstance(c, _Node) and c.tag == "li"]
-        rows = [(f"{i + 1}.  " if n.tag == "ol" else "*   ") + blocks(c).replace("\n", "\n    ") for i, c in enumerate(items)]
+        items = [_tidy(p) for c, p in zip(n.children, parts, strict=True) if isinstance(c, _Node) and c.tag == "li"]
+        rows = [(f"{i + 1}.  " if n.tag == "ol" else "*   ") + item.replace("\n", "\n    ") for i, item in enumerate(items)]
         return "\n\n" + "\n".join(rows) + "\n\n"
-    if n.tag in _BLOCK or n.tag == "li":
-        return f"\n\n{blocks(n)}\n\n"
-    return "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else _render(c) for c in n.children)
-
-
-def blocks(n: _Node) -> str:
-    text = "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else _render(c) for c in n.children)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ ]+(?=\n)", "\n", text)).strip()
-
-
-def _select(n: _Node, selector: str) -> _Node | None:
-    """The first element that fits a chain of tag, #id or .class parts, each below the one before."""
-    first, _, rest = selector.strip().partition(" ")
-    tag, ident, classes = re.match(r"^([\w-]*)", first)[1], re.findall(r"#([\w-]+)", first), re.findall(r"\.([\w-]+)", first)
-    for c in n.children:
-        if isinstance(c, _Node):
-            fits = (not tag or c.tag == tag) and all(c.attrs.get("id") == i for i in ident) and all(k in c.attrs.get("class", "").split() for k in classes)
-            got = (_select(c, rest) if rest else c) if fits else None
-            got = got or _select(c, selector)
-            if got:
-                return got
+    return f"\n\n{_tidy(inside)}\n\n" if n.tag in _BLOCK or n.tag == "li" else inside
+
+
+def blocks(root: _Node) -> str:
+    """The Markdown of what is below a node: children before their parent, by a stack, however deep the page is."""
+    open_: list[tuple[_Node, list[str], int]] = [(root, [], 0)]
+    while True:
+        n, parts, at = open_.pop()
+        while at < len(n.children):
+            c = n.children[at]
+            at += 1
+            if isinstance(c, str):
+                parts.append(_squeezed(c))
+            elif c.tag in _DROP:
+                parts.append("")
+            else:
+                open_.append((n, parts, at))
+                n, parts, at = c, [], 0
+        if not open_:
+            return _tidy("".join(parts))
+        open_[-1][1].append(_wrapped(n, parts))
+
+
+def _fits(n: _Node, part: str) -> bool:
+    tag, ident, classes = re.match(r"^([\w-]*)", part)[1], re.findall(r"#([\w-]+)", part), re.findall(r"\.([\w-]+)", part)
+    return (not tag or n.tag == tag) and all(n.attrs.get("id") == i for i in ident) and all(k in n.attrs.get("class", "").split() for k in classes)
+
+
+def _select(root: _Node, selector: str) -> _Node | None:
+    """The first element, in the page's order, that fits the last of a chain of tag, #id or .class parts, each below the
+    one before."""
+    chain = selector.split()
+    waiting = [(c, 0) for c in reversed(root.children) if isinstance(c, _Node)]
+    while waiting:
+        n, met = waiting.pop()
+        if _fits(n, chain[met]):
+            met += 1
+            if met == len(chain):
+                return n
+        waiting.extend((c, met) for c in reversed(n.children) if isinstance(c, _Node))
     return None
 
 

@@ -92,3 +92,8 @@ def sealed(c: Column, key: Column) -> Column:
 
 def opened(c: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unhex(c), key, F.lit("CBC"), F.lit("PKCS")).cast("string")
+
+
+def setting(value: Column, is_sealed: Column, open_it: Column, path: str) -> Column:
+    """What is shown of a setting: ``[redacted]`` of a sealed one that is not to be opened, else its JSON value."""
+    return F.when(is_sealed & ~open_it, "[redacted]").otherwise(F.get_json_object(value, path))

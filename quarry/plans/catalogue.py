@@ -212,10 +212,12 @@ def a70_domain_backfill(t):
     return t.pages.groupBy(text.normalize_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"[^\"]+\">[^<]+</a>')) > 0 AS has_links, true AS has_text FROM pages")
+@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]+">[^<]+</a>'), lambda x: '[' || regexp_extract(x, '>([^<>]+)</a>', 1) || '](' || regexp_extract(x, 'href="([^"]+)"', 1) || ')'), ' ') AS links,
+    trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading FROM pages""")
 def b03_markdown(t):
+    """The links of a page and its first heading, as its Markdown has them."""
     md = t.pages.select("page_id", html.markdown()("html").alias("m")).select("page_id", F.col("m.markdown").alias("md"))
-    return md.select("page_id", F.coalesce(F.regexp_count("md", F.lit(text.LINK)) > 0, F.lit(False)).alias("has_links"), (F.length("md") > 0).alias("has_text"))
+    return md.select("page_id", F.array_join(F.regexp_extract_all("md", F.lit(r"(?m)^\*   (\[[^\]]*\]\([^)]+\))"), F.lit(1)), " ").alias("links"), F.regexp_extract("md", "(?m)^([^\n]+)\n={2,}$", 1).alias("heading"))
 
 
 @query(f"""SELECT page_id, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(html, 'href="(/[^"]*)"', 1), lambda l: regexp_extract(url, '^(https?://[^/?#]*)', 1) || l))), 'string_agg', ' ') AS links

@@ -33,16 +33,16 @@ _URL = "'https://x.edu/c/' || p_partkey"
 
 @query(f"""SELECT 'C' || p_partkey AS "External Identifier", 'C' || p_partkey AS "Coded Notation", 'Course' AS "Learning Type", p_name AS "Learning Opportunity Name", p_type AS "Description", 'English' AS "Language",
     'Active' AS "Life Cycle Status Type", {_URL} AS "In Catalog", CASE WHEN p_size % 7 = 0 THEN 'TRUE' END AS "Is Non-Credit", lo AS "Credit Unit Value",
-    CASE WHEN lo <> 0 AND hi <> 0 AND hi > lo THEN hi END AS "Credit Unit Max Value", kind AS "Credit Unit Type", CASE WHEN kind IS NULL THEN 'Unknown' END AS "Credit Unit Type Description",
+    CASE WHEN lo <> 0 AND hi <> 0 AND hi > lo THEN hi END AS "Credit Unit Max Value", kind AS "Credit Unit Type", CASE WHEN kind IS NULL THEN 'This has credit value, but the type cannot be determined' END AS "Credit Unit Type Description",
     {_AVERAGE} AS "Text Verification Average", {_DETAILS} AS "Text Verification Details", 'C' || p_partkey AS "ConditionProfile: External Identifier", 'Requires' AS "ConditionProfile: Type",
     'Prerequisites' AS "ConditionProfile: Name", CASE WHEN p_size % 6 <> 0 THEN p_brand END AS "ConditionProfile: Description"
-    FROM (SELECT *, (p_size % 4)::DOUBLE AS lo, CASE WHEN p_size % 3 <> 0 THEN (p_size % 5)::DOUBLE END AS hi, CASE WHEN p_size % 2 = 1 THEN 'SemesterHours' END AS kind FROM part)""")
+    FROM (SELECT *, (p_size % 4)::DOUBLE AS lo, CASE WHEN p_size % 3 <> 0 THEN (p_size % 5)::DOUBLE END AS hi, CASE WHEN p_size % 2 = 1 THEN 'SemesterHour' END AS kind FROM part)""")
 def b40_course_rows(t):
     i, size = _items(t), F.col("p_size")
     ident = F.concat(F.lit("C"), F.col("p_partkey").cast("string"))
     item = {
         "course_id": ident, "course_name": F.col("p_name"), "course_description": F.col("p_type"), "url": F.col("url"), "course_non_credit": size % 7 == 0,
-        "course_credits_min": (size % 4).cast("double"), "course_credits_max": F.when(size % 3 != 0, (size % 5).cast("double")), "course_credits_type": F.when(size % 2 == 1, "SemesterHours"),
+        "course_credits_min": (size % 4).cast("double"), "course_credits_max": F.when(size % 3 != 0, (size % 5).cast("double")), "course_credits_type": F.when(size % 2 == 1, "SemesterHour"),
         "course_prerequisites": F.when(size % 6 != 0, F.col("p_brand")), "inclusion": F.col("inclusion"),
     }
     return i.select(*(c.alias(k) for k, c in exports.course(item).items()))

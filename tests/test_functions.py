@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import html, robots, text
+from quarry.operators import ranks, verification
 from quarry.streaming import completion
 
 
@@ -9,16 +10,21 @@ def one(spark, column):
 
 
 def test_domains(spark):
-    assert one(spark, text.parse_domains(F.lit("continue.weber.edu, catalog.weber.edu"))) == ["continue.weber.edu", "catalog.weber.edu"]
-    assert one(spark, text.normalize_domain(F.lit("https://www.Example.edu/path"))) == "example.edu"
-    assert not one(spark, text.valid_domain(F.lit("not a domain")))
+    assert one(spark, text.parse_domains(F.lit("north.quarry.test,\n http://south.quarry.test/x , north.quarry.test,"))) == ["north.quarry.test", "south.quarry.test"]
+    for given, want in ((" http://www.QUARRY.test/a/b ", "quarry.test"), ("www.www.quarry.test", "www.quarry.test"), ("WWW.quarry.test", "www.quarry.test"), ("HTTP://quarry.test", "http:"), ("", "")):
+        assert one(spark, text.normalize_domain(F.lit(given))) == want
+    for given, good in (("a.b", True), ("-a.b", False), ("a", False), ("a..b", False), ("a b.c", False), ("a.-b", True), ("a.b.", False)):
+        assert one(spark, text.valid_domain(F.lit(given))) is good
 
 
 def test_page_urls(spark):
     p = F.lit("https://x.edu?page={page_num}")
-    assert one(spark, text.page_urls(p, F.lit(3), F.lit(0)))[-1] == "https://x.edu?page=2"
-    assert one(spark, text.page_urls(p, F.lit(2)))[0] == "https://x.edu?page=1"
-    assert one(spark, text.page_urls(p, F.lit(0))) == []
+    assert one(spark, text.page_urls(p, F.lit(3), F.lit(0))).urls[-1] == "https://x.edu?page=2"
+    assert one(spark, text.page_urls(p, F.lit(2))).urls[0] == "https://x.edu?page=1"
+    assert one(spark, text.page_urls(p, F.lit(0))).urls == []
+    for bad in ("", "  ", "https://x.edu?page=1"):
+        got = one(spark, text.page_urls(F.lit(bad), F.lit(3)))
+        assert got.urls is None and got.error
 
 
 def test_numbers_and_names(spark):
@@ -34,11 +40,11 @@ def test_inclusion(spark):
 
 
 def test_robots(spark):
-    got = robots.parse("User-agent: a\nUser-agent: *\nDisallow: /admin/ # x\nDisallow:\nDisallow: /*.php$\nAllow: /admin/public/\nCrawl-delay: 5\nSitemap: s")
+    got = robots.parse("User-agent: mole\nUser-agent: *\nDisallow: /pit/ # deep\nDisallow:\nDisallow: /*.ore$\nAllow: /pit/view/\nCrawl-delay: 5\nSitemap: s")
     assert len(got["rules"]) == 1 and got["rules"][0]["delay"] == 5 and got["sitemaps"] == ["s"]
     rule = robots.rule_for(got)
     lists = [F.array(*map(F.lit, rule[k])) for k in ("allow", "disallow")]
-    for path, ok in (("/", True), ("/admin/x", False), ("/admin/public/y", True), ("/page.php", False), ("/page.phps", True)):
+    for path, ok in (("/", True), ("/pit/x", False), ("/pit/view/y", True), ("/seam.ore", False), ("/seam.ores", True)):
         assert one(spark, text.robots_allows(F.lit(path), *lists)) is ok
     assert robots.parse("")["rules"] == []
 
@@ -49,6 +55,34 @@ def test_markdown():
     assert html.simplified("<p>x</p>", "#no") == (None, "ContentSelectorError")
 
 
+def test_markdown_of_deep_pages():
+    deep = "<div>" * 5000 + "<b>x</b> <a href='/u'>y</a>" + "</div>" * 5000
+    assert html.simplified(deep) == ("**x** [y](/u)", None)
+    assert html.simplified("<div>" * 5000 + "<p id='k'>z</p>", "div p#k") == ("z", None)
+    assert html.simplified("<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol>")[0] == "1.  a\n\n    *   b\n2.  c"
+
+
+def test_ranks(spark):
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 == 0 else f"k{i % 20}", i % 97, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, a long, b long")
+    got = {(r.k, r.a, r.b): r.n for r in ranks.placed(df, "k", ["a", "b"], "n", ranges=8).collect()}
+    by = {}
+    for k, a, b in sorted((r for r in rows if r[0] is not None), key=lambda r: r[1:]):
+        by[k] = by.get(k, 0) + 1
+        assert got[k, a, b] == by[k]
+    assert len(got) == 2000 and all(got[r] is None for r in rows if r[0] is None)
+    for part in (0, 0.03, 0.5, 1):
+        first = ranks.first_rows(df, [F.col("a"), F.col("b")], part).collect()
+        assert sorted((r.a, r.b) for r in first) == sorted(r[1:] for r in rows)[: -int(-2000 * part // 1)]
+
+
+def test_included_items(spark):
+    docs = spark.createDataFrame([(1, "a" * 40 + "needle" + "b" * 40), (2, ""), (3, None), (4, "short")], "doc_id long, p string")
+    items = spark.createDataFrame([(1, "aaaaneedlebbbbbbbbbb"), (2, "need"), (3, ""), (4, None), (5, "a" * 39 + "c"), (6, "short")], "item_id long, q string")
+    got = sorted(map(tuple, verification.included_items(docs, items).collect()))
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 3), (4, 3), (4, 6)]
+
+
 def test_completion():
     assert completion.decide("IN_PROGRESS", 60, 50, False, False, 0) == "CANCELLED"
     assert completion.decide("IN_PROGRESS", 1, 50, True, True, 300) == "COMPLETE"
