@@ -5,7 +5,8 @@ classes of ``step`` tokens, a fixed number) is a cutting-stock problem: a linear
 columns come from a knapsack dynamic program over the duals; rounded down, the rest first-fit decreasing. Tails,
 ranked within their class in Spark, are then assigned to the patterns' places by a join.
 
-Null text: one id (the end). Empty table: no rows. Repeated rows: packed as documents of their own.
+Null text: one id (the end). Empty table: no rows. Repeated rows: packed as documents of their own. Very long texts: cut
+into whole sequences and a tail, one text's ids held at a time. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -118,12 +119,16 @@ def pieces_of(docs: DataFrame, vocabulary: str, width: int, end_id: int) -> Data
                         for column, v in zip(out, (doc, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        # The worker lives on for other stages: it gives the words' memory back.
+        known.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, PIECE)
 
 
-def price(values: np.ndarray, sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The knapsack: a best pattern of items of ``sizes``, as counts, and its value; no item more often than is asked for."""
+def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The knapsack: a best pattern of items of ``sizes``, as counts, and its value. Items may come as often as they fit;
+    those beyond what is asked for are cut off when patterns are rounded."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(sizes)
     s, v = sizes[order], values[order]
@@ -173,7 +178,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
     x, bound = times(inverse, demand), 0.0
     for r in range(rounds):
         duals = inverse.sum(axis=0)
-        value, pattern = price(np.maximum(duals, 0), sizes, demand, capacity)
+        value, pattern = price(np.maximum(duals, 0), sizes, capacity)
         bound = max(bound, float(demand @ np.maximum(duals, 0)) / max(value, 1))
         if value <= 1 + 1e-9 or x.sum() - bound <= max(0.5, gap * bound):
             break

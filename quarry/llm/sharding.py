@@ -5,7 +5,7 @@ quantile boundaries of many small ranges; overfull ranges are subdivided by exac
 dealt to shards, largest first. Only a single text whose copies exceed a whole shard's share is split.
 
 Null text: a text of no bytes. Empty table: no rows. Repeated rows: each is a record of its own. Null doc_id:
-kept, ranked like any other value. Columns other than doc_id and text are ignored.
+kept, ranked like any other value. Very long texts: a size and two hashes like any other. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Operator 5: byte-pair token counts by a heap of adjacent pairs over a linked list of symbols.
 
-A word's count is its bytes minus its merges; no identifiers are emitted. Words are split as the tokenizer file
-says (a byte-level pattern; special strings count as one token each). Each Python worker keeps the counts of
-words it has met in a dictionary of bounded size. Null text: empty. A word of any length costs n log n steps.
+A word's count is its bytes minus its merges; no identifiers are emitted. Words are split by the byte-level pattern that
+is fixed here; a tokenizer file with a normaliser or another kind of splitter is refused. Special strings count as one
+token each. Each Python worker keeps the counts of
+words it has met in a dictionary of bounded size. Null text: empty. Empty table: no rows. Repeated rows: counted each.
+Columns other than doc_id and text are ignored. A word of any length costs n log n steps.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ class PairMerger(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+            raise ValueError(f"{path}: not split by the byte-level pattern alone")
         vocab = spec["model"]["vocab"]
         self.first = [vocab[s] for s in byte_symbols()]
         self.merge = {}

@@ -176,6 +176,18 @@ def test_shards(docs):
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
 
 
+def test_shards_are_balanced_and_keep_equal_texts_together(spark):
+    rows = [(i, words(rng.randrange(1, 60), 5000)) for i in range(3000)]
+    rows += [(10_000 + i, rows[i % 40][1]) for i in range(400)]
+    got = sharding.shard(frame(spark, rows), shards=8).collect()
+    loads, where = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        loads[r.shard] += r["size"]
+        where[r["size"], r.text_crc32].add(r.shard)
+    assert len(loads) == 8 and max(loads.values()) <= 1.02 * min(loads.values())
+    assert all(len(s) == 1 for s in where.values())
+
+
 def test_shards_hot_text_is_split(spark):
     rows = [(i, "hot text" * 20) for i in range(600)] + [(1000 + i, words(30)) for i in range(600)]
     got = sharding.shard(frame(spark, rows), shards=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
