@@ -30,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of an Arrow batch. The JVM and its Python worker each hold a batch of whole texts more than once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS for the session, unless it names a number of its own. It stays set: what operators return is
+    run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors recompute from files, not from the start."""
     spark = df.sparkSession

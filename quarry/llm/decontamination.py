@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import small_batches, written
 
 FOUND = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -115,6 +115,7 @@ class Searcher:
 def blocks(benchmark: DataFrame, percent: int, block_chars: int) -> Iterator[Block]:
     """Blocks of at most about ``block_chars`` characters of items, which are dealt to them by hash. One is made at a
     time: the driver and the tasks hold no more than one block's items."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and trim(text) != ''")
     n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for k in range(n):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import forget, written
+from .common import forget, small_batches, written
 from .components import components
 from .hashing import mix, shingle_sets
 
@@ -145,6 +145,7 @@ def _matrix(sets: DataFrame, percent: int) -> DataFrame:
 def grouped(docs: DataFrame, keys: list[str] | tuple = (), words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """doc_id, keys, n_shingles, component: one row per row of ``docs``; component is a number that connected documents
     share, null for those without words."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce("text", F.lit("")).alias("text"))
     whole = written(_signatures(docs, list(keys), words, percent), "signatures")
     slim = written(whole.drop("first"), "signed")

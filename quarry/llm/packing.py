@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import ranked, written
+from .common import ranked, small_batches, written
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WORDS_KEPT = 400_000
@@ -220,6 +220,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
 def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, step: int = 8) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; one row per piece. ``vocabulary``: a path that every executor has."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = written(pieces_of(docs, vocabulary, width, end_id).withColumn("class", F.ceil(F.col("length") / step).cast("int")), "pieces")
     full_class = -(-width // step)
     histogram = {r["class"]: r["n"] for r in pieces.where(F.col("class") < full_class).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}

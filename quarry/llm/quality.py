@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, written
+from .common import forget, small_batches, written
 
 TEXT, META = 1 << 15, 576
 #: Labelled documents used at most: three quarters to fit, the rest to calibrate.
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     """None where the labels have not both kinds. ``labelled`` bounds the sample; pseudo-labels come from all of ``docs``.
     Counts are summed by the tasks, and of the held documents (a quarter of the sample) only scores reach the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = written(labelled_rows(docs, labels, labelled), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
