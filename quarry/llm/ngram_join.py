@@ -117,7 +117,7 @@ def _open_sets(first: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     # At most BUCKETS rows of one integer.
     buckets = live.select(wanted.alias("bucket")).distinct()
     found = _sets(docs.join(F.broadcast(buckets), wanted == F.col("bucket"), "left_semi"), words)
-    return written(found.join(live.select("d1", "n"), ["d1", "n"], "left_semi").select("d1", "n", "columns").dropDuplicates(["d1"]), "sets")
+    return written(found.join(live.select("d1", "n"), ["d1", "n"], "left_semi").select("d1", "n", "columns").dropDuplicates(["d1", "n"]), "sets")
 
 
 def _matrix(sets: DataFrame, percent: int) -> DataFrame:
