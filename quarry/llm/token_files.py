@@ -1,16 +1,16 @@
 """Operator 11: token ids as Arrow stream files of fixed-size-list batches, read without copies at any place.
 
-Documents are tokenised where they lie, dealt to ranges of doc_id, and each range is written by its task, one document
-after the other, as files of its own: ``tokens-PPPPP-KKKK.arrows``, an Arrow IPC stream whose batches all have the same
-number of sequences (the last may have fewer), and each sequence ``width`` ids and as many mask bytes: 1 for an id, 0
+Documents are dealt to ranges of doc_id, and each range is tokenised and written by its task, one document after the
+other, as files of its own: ``tokens-PPPPP-KKKK.arrows``, an Arrow IPC stream whose batches all have the same
+number of sequences (the last may have fewer), and each sequence ``width`` ids and as many mask bits: 1 for an id, 0
 for padding, which only a file's last sequence has. Nothing in a batch varies in length, so all batches take the same
 bytes, and a sequence's place in the file follows from its number: ``TokenFile`` maps a file and hands out ids and masks
-as views of it. Beside each file ``...docs.arrows`` names its documents: doc_id, start (in the file) and n_tokens. A
+as views of it (masks as Arrow's bits). Beside each file ``...docs.arrows`` names its documents: doc_id, start (in the file) and n_tokens. A
 document never crosses files; a file ends with the first document
 that brings it to ``file_sequences``, or to FILE_DOCS documents. Files get their
 name when they are whole, so a task that is run again, or twice, leaves the same ones.
 
-Order: ascending doc_id, null ids last, rows that share an id by number and checksum of their ids. Null text: no ids but
+Order: ascending doc_id, null ids last, rows that share an id by size and hash of their texts. Null text: no ids but
 the end. Empty table: no files, no rows. Repeated rows: a document each. Very long texts: one text's ids held at a time,
 and one batch written at a time. Columns other than doc_id and text are ignored.
 """
@@ -25,48 +25,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import forget, shared_dir, written
+from .common import ROW, numbered, shared_dir, written
 from .packing import WordIds
 
-#: Ids that one range, and so one task, is to write. There are at most MAX_PARTS ranges.
-PART_TOKENS, MAX_PARTS = 1 << 25, 20_000
+#: Bytes of text that one range, and so one task, is to tokenise and write. There are at most MAX_PARTS ranges.
+PART_BYTES, MAX_PARTS = 1 << 26, 100_000
 #: Documents of a file: their list is held until the file ends.
 FILE_DOCS = 1 << 19
-TOKENS = "doc_id long, n_tokens long, ids_crc32 long, ids binary"
 FILES = "part int, file int, name string, n_docs long, n_tokens long, n_sequences long"
-READ = "name string, doc_id long, start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, file string, file_start long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _tokenizers: dict[str, WordIds] = {}
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int, dtype: str) -> DataFrame:
-    """TOKENS: each document's ids, the end id last, as numbers of ``dtype``; the checksum is of 32-bit ones."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = WordIds(vocabulary)
-        known, end = _tokenizers[vocabulary], np.asarray([end_id], "<u4").tobytes()
-        for b in rows:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                raw = [t or "" for t in part.column(1).to_pylist()]
-                found = known.look_up([known.split(t) for t in raw])
-                ids = [(known.whole(t) if f is None else b"".join(f)) + end for t, f in zip(raw, found, strict=True)]
-                short = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(short, pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "ids"])
-        known.clear()
-        pa.default_memory_pool().release_unused()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, TOKENS)
+def tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids, the end id last, of each row (doc_id, text)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if vocabulary not in _tokenizers:
+        _tokenizers[vocabulary] = WordIds(vocabulary)
+    known, end = _tokenizers[vocabulary], np.asarray([end_id], "<u4").tobytes()
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            raw = [t or "" for t in part.column(1).to_pylist()]
+            found = known.look_up([known.split(t) for t in raw])
+            for doc_id, text, ids in zip(part.column(0).to_pylist(), raw, found, strict=True):
+                yield doc_id, np.frombuffer((known.whole(text) if ids is None else b"".join(ids)) + end, "<u4")
+    known.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _schema(width: int, dtype: str) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), width)), ("mask", pa.list_(pa.uint8(), width))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), width)), ("mask", pa.list_(pa.bool_(), width))])
 
 
 class TokenFileWriter:
@@ -83,8 +78,7 @@ class TokenFileWriter:
     def _flush(self) -> None:
         n = -(-self.filled // self.width)
         if n:
-            mask = np.zeros(n * self.width, np.uint8)
-            mask[: self.filled] = 1
+            mask = np.arange(n * self.width) < self.filled
             self.ids[self.filled :] = 0
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (self.ids[: n * self.width], mask)]
             self.stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -139,19 +133,19 @@ class TokenFile:
         except EOFError:
             return None
 
-    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and masks, batch by batch, as matrices with a row for each sequence."""
+    def batches(self) -> Iterator[pa.RecordBatch]:
         for place in itertools.count(self.first, self.step) if self.step else ():
             b = self._batch_at(place)
             if b is None:
                 return
-            yield _matrix(b, "ids", self.width), _matrix(b, "mask", self.width)
+            yield b
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         b = self._batch_at(self.first + i // self.batch * self.step) if i >= 0 and self.step else None
         if b is None or i % self.batch >= b.num_rows:
             raise IndexError(i)
-        return _matrix(b, "ids", self.width)[i % self.batch], _matrix(b, "mask", self.width)[i % self.batch]
+        ids, mask = (b.column(c).flatten().slice(i % self.batch * self.width, self.width) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def docs(self) -> Iterator[pa.RecordBatch]:
         with self.fs.open_input_stream(docs_of(self.path)) as source:
@@ -166,8 +160,8 @@ class TokenFile:
             nonlocal ids
             while n:
                 if not len(ids):
-                    rows, mask = next(batches)
-                    ids = rows.reshape(-1)[: int(mask.sum(dtype=np.int64))]
+                    b = next(batches)
+                    ids = b.column(0).flatten().to_numpy(zero_copy_only=True)[: b.column(1).flatten().true_count]
                 run, ids = ids[:n], ids[n:]
                 n -= len(run)
                 yield run
@@ -177,73 +171,62 @@ class TokenFile:
                 yield doc_id, start, runs(n)
 
 
-def _matrix(b: pa.RecordBatch, column: str, width: int) -> np.ndarray:
-    return b.column(column).flatten().to_numpy(zero_copy_only=True).reshape(-1, width)
-
-
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, width: int = 2048, batch: int = 64, file_sequences: int = 1 << 15, part_tokens: int = PART_TOKENS) -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, width: int = 2048, batch: int = 64, file_sequences: int = 1 << 15, part_bytes: int = PART_BYTES) -> DataFrame:
     """Writes the files into ``folder``, an address that Arrow's file systems and every executor can open, and returns
     their list (FILES), in whose order (part, file) the documents ascend."""
-    spark = docs.sparkSession
     from tokenizers import Tokenizer
 
+    spark = docs.sparkSession
     dtype = "<u2" if max([end_id, *Tokenizer.from_file(vocabulary).get_vocab().values()]) < 1 << 16 else "<u4"
-    tokens = written(tokenised(docs, vocabulary, end_id, dtype).withColumn("_place", F.monotonically_increasing_id()), "tokens")
-    total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    parts = max(spark.sparkContext.defaultParallelism, min(MAX_PARTS, -(-total // part_tokens)))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    total = docs.agg(F.coalesce(F.sum(size + 1), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, min(MAX_PARTS, -(-total // part_bytes)))
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part, done, out = TaskContext.get().partitionId(), [], None
-
-        def ended() -> None:
-            name = os.path.basename(out.path)
-            done.append((part, len(done), name, *out.close()))
-
-        for b in rows:
-            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out = out or TokenFileWriter(fs, f"{root}/tokens-{part:05d}-{len(done):04d}.arrows", width, batch, dtype)
-                out.add(doc_id, np.frombuffer(ids.as_buffer(), dtype))
-                if out.n_tokens >= file_sequences * width or len(out.docs[0]) >= FILE_DOCS:
-                    ended()
-                    out = None
+        for doc_id, ids in tokenised(rows, vocabulary, end_id):
+            out = out or TokenFileWriter(fs, f"{root}/tokens-{part:05d}-{len(done):04d}.arrows", width, batch, dtype)
+            out.add(doc_id, ids)
+            if out.n_tokens >= file_sequences * width or len(out.docs[0]) >= FILE_DOCS:
+                done.append((part, len(done), os.path.basename(out.path), *out.close()))
+                out = None
         if out:
-            ended()
+            done.append((part, len(done), os.path.basename(out.path), *out.close()))
         if done:
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], ["part", "file", "name", "n_docs", "n_tokens", "n_sequences"])
 
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_tokens"), F.col("ids_crc32"), F.col("_place")]
-    files = written(tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(task, FILES), "token-files")
-    forget(tokens)
-    return files
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    # Rows alike are told apart by their place, so that a range may end between them.
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), size, F.xxhash64("text"), *ROW]
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return written(ranges.select("doc_id", "text").mapInArrow(task, FILES), "token-files")
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
-    """Every document as the files have it: READ, ``start`` counting the ids of all documents before it."""
-    spark = files.sparkSession
+    """Every document as the files have it: READ, ``start`` counting the ids of all documents before it, ``file_start``
+    those of its file."""
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         for b in rows:
-            for name in b.column(0).to_pylist():
+            for name, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 documents = TokenFile(fs, f"{root}/{name}").documents()
                 while some := list(itertools.islice(map(_summed, documents), 10_000)):
-                    columns = list(zip(*some, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), *(pa.array(c, pa.int64()) for c in columns)], ["name", "doc_id", "start", "n_tokens", "ids_crc32"])
+                    doc_id, start, n, crc = (pa.array(c, pa.int64()) for c in zip(*some, strict=True))
+                    yield pa.RecordBatch.from_arrays([doc_id, pc.add(start, before), n, crc, pa.array([name] * len(some)), start], ["doc_id", "start", "n_tokens", "ids_crc32", "file", "file_start"])
 
-    n = files.count()
-    found = files.select("name").repartition(max(1, min(n, 20_000))).mapInArrow(task, READ)
     # One row a range, of which there are at most MAX_PARTS.
     sums, at = [], 0
     for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         sums.append((r["part"], at))
         at += r["n"]
-    before = F.broadcast(spark.createDataFrame(sums, "part int, _part long"))
+    parts = F.broadcast(files.sparkSession.createDataFrame(sums, "part int, before long"))
     earlier = W.partitionBy("part").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    places = files.select("name", "part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("_file")).join(before, "part")
-    return found.join(places, "name").select("doc_id", (F.col("start") + F.col("_part") + F.col("_file")).alias("start"), "n_tokens", "ids_crc32", F.col("name").alias("file"), F.col("start").alias("file_start"))
+    places = files.withColumn("earlier", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).join(parts, "part")
+    return places.select("name", F.col("before") + F.col("earlier")).repartition(max(1, min(len(sums), MAX_PARTS))).mapInArrow(task, READ)
 
 
 def _summed(document: tuple[int | None, int, Iterator[np.ndarray]]) -> tuple[int | None, int, int, int]:

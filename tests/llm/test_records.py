@@ -17,10 +17,11 @@ from quarry.llm import conversations, hard_negatives, queries, token_files
 
 SF = "/root/testdata/sf0.001"
 WORDS = queries.vocabulary("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(WORDS)
 
 
 def plain_ids(text):
-    return [*Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 # --- token files
@@ -32,13 +33,13 @@ def test_token_files_hold_every_document(spark, tmp_path):
     rows = [(i * 3 % 157 if i else None, t) for i, t in enumerate(texts)] + [(5, "again"), (5, "again"), (None, None)]
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, ids string, n_tokens int, part int").repartition(5)
     folder = f"file://{tmp_path}/files"
-    files = token_files.write(docs, WORDS, folder, width=16, batch=4, file_sequences=20, part_tokens=2000)
+    files = token_files.write(docs, WORDS, folder, width=16, batch=4, file_sequences=20, part_bytes=2000)
     assert files.count() > 8  # ranges that were cut into several files among them
-    expected = sorted(((i is None, i or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [plain_ids(t)]))
     start, want = 0, []
-    for none, i, n, crc in expected:
-        want.append((None if none else i, start, n, crc))
-        start += n
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, len((r[1] or "").encode()))):
+        ids = plain_ids(t)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read(files, folder).orderBy("start").collect()]
     assert got == want
 
@@ -50,14 +51,15 @@ def test_token_files_hold_every_document(spark, tmp_path):
         n_sequences += len(everything)
         with pytest.raises(IndexError):
             f.sequence(r["n_sequences"])
-        assert all(len(a) == len(m) == 16 for a, m in everything) and sum(int(m.sum()) for _, m in everything) == r["n_tokens"]
-        assert all(m.all() for _, m in everything[:-1]) and not any(a[m == 0].any() for a, m in everything)
+        assert all(len(a) == len(m) == 16 for a, m in everything) and sum(m.true_count for _, m in everything) == r["n_tokens"]
+        assert all(m.true_count == 16 for _, m in everything[:-1]) and not any(a[~m.to_numpy(zero_copy_only=False)].any() for a, m in everything)
         # Views of the mapped file: their bytes lie inside it.
         f.source.seek(0)
         mapped = f.source.read_buffer()
         for a, m in everything:
-            for v in (a, m):
-                assert not v.flags.owndata and mapped.address <= v.ctypes.data < mapped.address + mapped.size
+            for place in (a.ctypes.data, m.buffers()[1].address):
+                assert mapped.address <= place < mapped.address + mapped.size
+            assert not a.flags.owndata
         ids = np.concatenate([a for a, _ in everything])
         for b in f.docs():
             for doc_id, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
