@@ -17,12 +17,35 @@ def included(page: Column, value: Column) -> Column:
     return preprocess(page).contains(preprocess(value))
 
 
-def passes(flags: dict[str, tuple[Column, Column]], required: list[str]) -> Column:
-    """flags: field to (value, included). Every required field is absent or included."""
+#: What a point may follow without ending a sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "vs", "etc", "No", "Inc", "Ltd", "Co", "e.g", "i.e")
+#: The end of a sentence: its marks with closing quotes or brackets, then white space.
+SENTENCE_END = r"([.!?]+[\"')\]]*)[ \t\n\r]+"
+
+
+def sentences(c: Column) -> Column:
+    """The sentences of a text, in order, trimmed. Lines end sentences; the point of an abbreviation doesn't."""
+    point, cut = "\x01", "\x02"
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    marked = F.regexp_replace(c, rf"(^|[^A-Za-z])({names})\.", f"$1$2{point}")
+    parts = F.split(F.regexp_replace(marked, SENTENCE_END, f"$1{cut}"), f"[{cut}\n\r]")
+    return F.filter(F.transform(parts, lambda s: F.btrim(F.translate(s, point, "."))), lambda s: s != "")
+
+
+def sentences_held(page: Column, value: Column) -> Column:
+    """Whether each sentence of a value is one of the page's; a value without sentences has none that isn't."""
+    return F.size(F.array_except(sentences(value), sentences(page))) == 0
+
+
+def passes(flags: dict[str, tuple[Column, Column]], required: list[str], phrases: dict[str, Column] | None = None) -> Column:
+    """flags: field to (value, included). Every required field is absent or included, and every field that must be held
+    in whole phrases has its flag: an absent one has none."""
     out = F.lit(True)
     for f in required:
         value, full = flags[f]
         out = out & (value.isNull() | full)
+    for held in (phrases or {}).values():
+        out = out & F.coalesce(held, F.lit(False))
     return out
 
 

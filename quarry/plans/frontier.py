@@ -62,10 +62,10 @@ def b12_explored(t):
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '*:/a,/b:/a/ok:2.5' WHEN 1 THEN 'beta:/x::' WHEN 2 THEN '' WHEN 3 THEN '*:/one::;*:/two::' ELSE 'alpha::/y:' END AS rules, CASE WHEN n_nationkey % 5 = 4 THEN 'https://x.edu/map.xml' ELSE '' END AS sitemaps,
-    CASE n_nationkey % 5 WHEN 0 THEN '/a,/b' WHEN 3 THEN '/two' END AS star FROM nation""")
+    CASE n_nationkey % 5 WHEN 0 THEN '/a,/b' WHEN 3 THEN '/one' END AS star FROM nation""")
 def b14_robots_rules(t):
     """Of grouped agents the last has the rules; fields without a value, comments and unknown fields count for nothing;
-    of several rules for all agents the last is theirs."""
+    of several rules for all agents the first is theirs."""
     k = F.col("n_nationkey") % 5
     body = F.when(k == 0, "User-Agent: *  # all\nDISALLOW: /a\ndisallow:/b\nDisallow:\nAllow: /a/ok\ncrawl-delay: 2.5\n").when(k == 1, "user-agent: alpha\nuser-agent: beta\nnoindex: /q\ndisallow: /x").when(k == 2, "# nothing\n\nDisallow: /early\n").when(k == 3, "User-agent: *\nDisallow: /one\n\nUser-agent: *\nDisallow: /two").otherwise("User-agent: alpha\nAllow: /y\nSitemap: https://x.edu/map.xml")
     parsed = t.nation.select("n_nationkey", robots.parsed()(body).alias("r"))
@@ -73,7 +73,7 @@ def b14_robots_rules(t):
     def shown(rule):
         return F.concat_ws(":", rule["agent"], F.array_join(rule["disallow"], ","), F.array_join(rule["allow"], ","), F.coalesce(rule["delay"].cast("string"), F.lit("")))
 
-    star = F.try_element_at(F.filter("r.rules", lambda x: x["agent"] == "*"), F.lit(-1))
+    star = F.try_element_at(F.filter("r.rules", lambda x: x["agent"] == "*"), F.lit(1))
     return parsed.select("n_nationkey", F.array_join(F.transform("r.rules", shown), ";").alias("rules"), F.array_join("r.sitemaps", ",").alias("sitemaps"), F.when(star.isNotNull(), F.array_join(star["disallow"], ",")).alias("star"))
 
 
