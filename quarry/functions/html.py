@@ -1,4 +1,5 @@
-"""HTML to simplified Markdown: a small tree, walked once. Used inside an Arrow UDF, one page at a time."""
+"""HTML to simplified Markdown: a tree, a pass that rewrites it, and a writer. Used inside an Arrow UDF, one page at a
+time; every walk keeps a stack of its own, so a page may be as deep as it likes."""
 
 from __future__ import annotations
 
@@ -8,140 +9,326 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.functions import selectors
+
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_DROP = {"script", "style", "link", "footer", "head", "noscript"}
-_BLOCK = {"p", "div", "section", "article", "header", "main", "nav", "aside", "table", "tr", "ul", "ol", "form", "figure", "blockquote", "pre", "body", "html"}
+_BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "noscript", "ol", "output", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: What is left open by mistake goes on in the next paragraph.
+_FORMAT = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
+#: What a start tag ends: itself and its like, up to the nearest of the second set.
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Blank or not, these are written.
+_KEPT = {"a", "table", "thead", "tbody", "tfoot", "th", "td", "iframe", "audio", "video"}
+#: What means something in Markdown, anywhere and at the beginning of a text.
+ANYWHERE = re.compile(r"([\\*`\[\]_])")
+AT_START = re.compile(r"^(-|\+ |=+|#{1,6} |~~~|>)")
+NUMBERED = re.compile(r"^(\d+)\. ")
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
 
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-class _Node:
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+    def text(self) -> str:
+        out, waiting = [], [self]
+        while waiting:
+            n = waiting.pop()
+            if isinstance(n, str):
+                out.append(n)
+            else:
+                waiting.extend(reversed(n.children))
+        return "".join(out)
+
+    def replace(self, new: list) -> None:
+        if self.parent is None:
+            return
+        at = next((i for i, c in enumerate(self.parent.children) if c is self), None)
+        if at is not None:
+            self.parent.children[at : at + 1] = new
+            for c in new:
+                if isinstance(c, Node):
+                    c.parent = self.parent
+        self.parent = None
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.open = [self.root]
+        self.root = Node("", {})
+        self.open, self.formats, self.paragraphs = [self.root], [], 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr") and self.open[-1].tag == tag:
-            self.open.pop()
-        node = _Node(tag, {k: v or "" for k, v in attrs})
+    def _put(self, tag: str, attrs: dict[str, str]) -> Node:
+        node = Node(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.paragraphs += tag == "p"
+        return node
+
+    def _pop_to(self, at: int) -> None:
+        self.paragraphs -= sum(n.tag == "p" for n in self.open[at:])
+        del self.open[at:]
+
+    def _last(self, tags: set[str], within: set[str]) -> int:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                return i
+            if self.open[i].tag in within:
+                break
+        return 0
+
+    def _again(self) -> None:
+        """Opens anew what formats the text and was closed with a block around it."""
+        held = {id(n) for n in self.open}
+        for i, n in enumerate(self.formats):
+            if id(n) not in held:
+                self.formats[i] = self._put(n.tag, n.attrs)
+
+    def handle_starttag(self, tag, attrs):
+        if self.paragraphs and tag in _BLOCK and tag not in ("html", "body") and (at := self._last({"p"}, {"button", "table", "td", "th"})):
+            self._pop_to(at)
+        if tag in _ENDS:
+            tags, within = _ENDS[tag]
+            while at := self._last(tags, within):
+                self._pop_to(at)
+        if tag in _FORMAT:
+            if tag == "a" and any(n.tag == "a" for n in self.formats):
+                self.handle_endtag("a")
+        if tag not in _BLOCK and tag not in ("head", "title", "script", "style"):
+            self._again()
+        node = self._put(tag, {k: v or "" for k, v in attrs})
+        if tag in _FORMAT:
+            alike = [n for n in self.formats if n.tag == tag and n.attrs == node.attrs]
+            self.formats = [n for n in self.formats if len(alike) < 3 or n is not alike[0]] + [node]
 
     def handle_endtag(self, tag):
+        if tag in _FORMAT:
+            own = next((n for n in reversed(self.formats) if n.tag == tag), None)
+            self.formats = [n for n in self.formats if n is not own]
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._pop_to(i)
+                break
+            if tag in _FORMAT and self.open[i].tag in _BLOCK:
                 break
 
     def handle_data(self, data):
+        if data and self.open[-1].tag not in ("script", "style", "title"):
+            self._again()
         self.open[-1].children.append(data)
 
 
-def parse(html: str) -> _Node:
+def parse(html: str) -> Node:
     t = _Tree()
     t.feed(html)
     t.close()
     return t.root
 
 
-def _squeezed(text: str) -> str:
-    return re.sub(r"\s+", " ", text)
+def _in_order(root: Node) -> list[Node]:
+    out, waiting = [], [root]
+    while waiting:
+        n = waiting.pop()
+        out.append(n)
+        waiting.extend(reversed(n.elements()))
+    return out
+
 
+def simplify(root: Node) -> None:
+    """Takes out what says nothing (scripts, styles, heads' content, footers, links to resources, frames and divs without
+    content), all attributes but addresses, and divs that only hold a div. Numbered buttons become links."""
+    elements = _in_order(root)
+    for n in elements:
+        if n.tag == "head":
+            n.children = []
+    for n in elements:
+        if n.tag in ("script", "style", "noscript", "link", "footer") or n.tag == "iframe" and not n.children:
+            n.replace([])
+        elif n.tag == "button" and n.attrs.get("number"):
+            link = Node("a", {"href": f"/courses?page={n.attrs['number']}"})
+            link.children = [n.text().strip()]
+            n.replace([] if n.attrs["number"] == "..." else [link])
+        else:
+            n.attrs = {k: v for k, v in n.attrs.items() if k == "href"}
+            if n.tag == "div":
+                own, said = n.elements(), any(isinstance(c, str) and c.strip() for c in n.children)
+                if not own and not said:
+                    n.replace([])
+                elif not said and len(own) == 1 and own[0].tag == "div":
+                    n.replace(own)
 
-def _tidy(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ ]+(?=\n)", "\n", text)).strip()
 
+def _collapse(root: Node) -> None:
+    """White space as a browser shows it: one space between words, none at the edges of blocks. ``last`` is where the
+    text before stands; while it is None, the next text begins a line."""
+    last: tuple[Node, int] | None = None
+    keep = False
 
-def _wrapped(n: _Node, parts: list[str]) -> str:
+    def trim() -> None:
+        if last is not None:
+            n, i = last
+            n.children[i] = n.children[i].removesuffix(" ")
+
+    walk: list[tuple[Node, int]] = [(root, 0)]
+    while walk:
+        n, at = walk.pop()
+        if at < len(n.children):
+            walk.append((n, at + 1))
+            c = n.children[at]
+            if isinstance(c, str):
+                text = re.sub("[ \r\n\t]+", " ", c)
+                if text[:1] == " " and not keep and (last is None or last[0].children[last[1]].endswith(" ")):
+                    text = text[1:]
+                n.children[at] = text
+                if text:
+                    last = (n, at)
+                continue
+            if c.tag in _BLOCK or c.tag == "br":
+                trim()
+                last, keep = None, False
+            elif c.tag in _VOID:
+                last, keep = None, True
+            elif last is not None:
+                keep = False
+            if c.tag == "pre":
+                continue
+            walk.append((c, 0))
+        elif n.tag in _BLOCK:
+            trim()
+            last, keep = None, False
+    trim()
+
+
+def _escaped(text: str) -> str:
+    return NUMBERED.sub(r"\1\\. ", AT_START.sub(r"\\\1", ANYWHERE.sub(r"\\\1", text)))
+
+
+def _joined(parts: list[str]) -> str:
+    """Parts one after the other, with as many line ends between two as the one of them with more has, two at most."""
+    out, held = [], 0
+    for p in parts:
+        body = p.lstrip("\n")
+        if not p:
+            continue
+        held = min(2, max(held, len(p) - len(body)))
+        if body:
+            kept = body.rstrip("\n")
+            out += ["\n" * held, kept]
+            held = len(body) - len(kept)
+    return "".join(out) + "\n" * held
+
+
+def _fenced(code: str) -> str:
+    code = re.sub("\r?\n|\r", " ", code)
+    fence = "`"
+    while fence in re.findall("`+", code):
+        fence += "`"
+    room = " " if re.search("^`|^ .*[^ ].* $|`$", code) else ""
+    return f"{fence}{room}{code}{room}{fence}" if code else ""
+
+
+def _wrapped(n: Node, inside: str, blank: bool) -> str:
     """An element around its children's Markdown."""
-    inside = "".join(parts)
-    if re.fullmatch(r"h[1-6]", n.tag):
-        text, level = _squeezed(inside).strip(), int(n.tag[1])
-        if not text:
-            return ""
-        return f"\n\n{text}\n{('=' if level == 1 else '-') * len(text)}\n\n" if level < 3 else f"\n\n{'#' * level} {text}\n\n"
-    if n.tag == "a" or n.tag == "button" and n.attrs.get("number", "...") != "...":
-        text, href = _squeezed(inside).strip(), n.attrs.get("href") if n.tag == "a" else f"/courses?page={n.attrs['number']}"
-        return f"[{text}]({href})" if href and text else text
-    if n.tag == "button" and "number" in n.attrs:
-        return ""
-    if n.tag in ("b", "strong", "i", "em"):
-        text, mark = _squeezed(inside), "**" if n.tag in ("b", "strong") else "_"
-        return f"{mark}{text.strip()}{mark}" if text.strip() else text
-    if n.tag == "br":
+    tag = n.tag
+    if blank and tag not in _KEPT and tag not in _VOID:
+        return "\n\n" if tag in _BLOCK else ""
+    if re.fullmatch("h[1-6]", tag):
+        level = int(tag[1])
+        return f"\n\n{inside}\n{('=' if level == 1 else '-') * len(inside)}\n\n" if level < 3 else f"\n\n{'#' * level} {inside}\n\n"
+    if tag == "p":
+        return f"\n\n{inside}\n\n"
+    if tag == "br":
         return "  \n"
-    if n.tag == "hr":
+    if tag == "hr":
         return "\n\n* * *\n\n"
-    if n.tag in ("ul", "ol"):
-        items = [_tidy(p) for c, p in zip(n.children, parts, strict=True) if isinstance(c, _Node) and c.tag == "li"]
-        rows = [(f"{i + 1}.  " if n.tag == "ol" else "*   ") + item.replace("\n", "\n    ") for i, item in enumerate(items)]
-        return "\n\n" + "\n".join(rows) + "\n\n"
-    return f"\n\n{_tidy(inside)}\n\n" if n.tag in _BLOCK or n.tag == "li" else inside
+    if tag == "blockquote":
+        return "\n\n" + re.sub("^", "> ", inside.strip("\n"), flags=re.M) + "\n\n"
+    if tag == "pre" and n.elements() and n.children[0] is n.elements()[0] and n.children[0].tag == "code":
+        return "\n\n    " + n.children[0].text().replace("\n", "\n    ") + "\n\n"
+    if tag in ("ul", "ol"):
+        inner = n.parent is not None and n.parent.tag == "li" and n.parent.elements()[-1] is n
+        return f"\n{inside}" if inner else f"\n\n{inside}\n\n"
+    if tag == "li":
+        own = n.parent.elements() if n.parent is not None else [n]
+        mark = f"{next(i for i, c in enumerate(own, 1) if c is n)}.  " if n.parent is not None and n.parent.tag == "ol" else "*   "
+        content = re.sub("\n+$", "\n", inside.lstrip("\n")).replace("\n", "\n    ")
+        return mark + content + ("\n" if own[-1] is not n and not content.endswith("\n") else "")
+    if tag in _BLOCK:
+        return f"\n\n{inside}\n\n"
+    mark = "**" if tag in ("b", "strong") else "_" if tag in ("i", "em") else ""
+    if not mark and not (tag == "a" and "href" in n.attrs):
+        return inside
+    # White space at the edges of the text that is marked stands outside the marks; line breaks aren't text.
+    text = n.text()
+    lead, trail = text[: len(text) - len(text.lstrip())], text[len(text.rstrip()) :]
+    inside = inside.strip() if lead or trail else inside
+    if not text.strip():
+        lead = ""
+    if mark:
+        return f"{lead}{mark}{inside}{mark}{trail}" if inside.strip() else lead + trail
+    href = re.sub(r"([()])", r"\\\1", n.attrs["href"])
+    return f"{lead}[{inside}]({href}){trail}"
 
 
-def blocks(root: _Node) -> str:
-    """The Markdown of what is below a node: children before their parent, by a stack, however deep the page is."""
-    open_: list[tuple[_Node, list[str], int]] = [(root, [], 0)]
+def blocks(root: Node) -> str:
+    """The Markdown of a tree: children before their parent."""
+    _collapse(root)
+    # An element, what its children have come to, where it stands among them, and whether all of it was blank so far.
+    open_: list[list] = [[root, [], 0, True]]
     while True:
-        n, parts, at = open_.pop()
-        while at < len(n.children):
+        n, parts, at, blank = top = open_[-1]
+        if at < len(n.children):
+            top[2] += 1
             c = n.children[at]
-            at += 1
             if isinstance(c, str):
-                parts.append(_squeezed(c))
-            elif c.tag in _DROP:
-                parts.append("")
+                parts.append(_escaped(c))
+                top[3] = blank and not c.strip()
+            elif c.tag == "code" and c.parent.tag != "pre":
+                parts.append(_fenced(c.text()))
+                top[3] = blank and not c.text().strip()
             else:
-                open_.append((n, parts, at))
-                n, parts, at = c, [], 0
+                open_.append([c, [], 0, True])
+            continue
+        open_.pop()
         if not open_:
-            return _tidy("".join(parts))
-        open_[-1][1].append(_wrapped(n, parts))
-
-
-def _fits(n: _Node, part: str) -> bool:
-    tag, ident, classes = re.match(r"^([\w-]*)", part)[1], re.findall(r"#([\w-]+)", part), re.findall(r"\.([\w-]+)", part)
-    return (not tag or n.tag == tag) and all(n.attrs.get("id") == i for i in ident) and all(k in n.attrs.get("class", "").split() for k in classes)
-
-
-def _select(root: _Node, selector: str) -> _Node | None:
-    """The first element, in the page's order, that fits the last of a chain of tag, #id or .class parts, each below the
-    one before."""
-    chain = selector.split()
-    waiting = [(c, 0) for c in reversed(root.children) if isinstance(c, _Node)]
-    while waiting:
-        n, met = waiting.pop()
-        if _fits(n, chain[met]):
-            met += 1
-            if met == len(chain):
-                return n
-        waiting.extend((c, met) for c in reversed(n.children) if isinstance(c, _Node))
-    return None
+            return re.sub(r"\s+$", "", _joined(parts).lstrip("\t\r\n"))
+        inside = n.text() if n.tag == "pre" else _joined(parts)
+        open_[-1][1].append(_wrapped(n, inside, blank))
+        if not blank or n.tag in _VOID or n.tag in _KEPT:
+            open_[-1][3] = False
 
 
 def simplified(html: str | None, selector: str | None = None) -> tuple[str | None, str | None]:
-    """(Markdown, error): a selector that fits nothing, or blank content, is an error of the row, not of the job."""
+    """(Markdown, error): a selector that can't be read or fits nothing, or blank content, is an error of the row, not of
+    the job."""
     if html is None:
         return None, None
-    root = parse(html)
-    if selector:
-        root = _select(root, selector)
-        if root is None:
+    root, wanted = parse(html), (selector or "").strip()
+    if wanted:
+        try:
+            found = selectors.first(root, wanted)
+        except selectors.SelectorError:
+            found = None
+        if found is None:
             return None, "ContentSelectorError"
+        # What is selected stands alone, in a root of its own, so that it may itself be taken out.
+        root = Node("", {})
+        root.children, found.parent = [found], root
+    simplify(root)
     text = blocks(root)
-    return (None, "ContentSelectorError") if selector and not text else (text, None)
+    return (None, "ContentSelectorError") if wanted and not text else (text, None)
 
 
-def markdown():
+def markdown(selector: str | None = None):
     """A column function: html to (markdown, error)."""
 
     def batch(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([simplified(h) for h in html], columns=["markdown", "error"])
+        return pd.DataFrame([simplified(h, selector) for h in html], columns=["markdown", "error"])
 
     batch.__annotations__ = {"html": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(batch, "markdown string, error string")

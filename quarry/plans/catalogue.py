@@ -213,7 +213,7 @@ def a70_domain_backfill(t):
 
 
 @query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]+">[^<]+</a>'), lambda x: '[' || regexp_extract(x, '>([^<>]+)</a>', 1) || '](' || regexp_extract(x, 'href="([^"]+)"', 1) || ')'), ' ') AS links,
-    replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&amp;', '&') AS heading FROM pages""")
+    regexp_replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&amp;', '&'), '([\\*`\[\]_])', '\\\1', 'g') AS heading FROM pages""")
 def b03_markdown(t):
     """The links of a page and its first heading, as its Markdown has them."""
     md = t.pages.select("page_id", html.markdown()("html").alias("m")).select("page_id", F.col("m.markdown").alias("md"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import text, urls
+from quarry.functions import html, text, urls
 from quarry.operators import robots_table, verification
 from quarry.plans.catalogue import query
 
@@ -73,3 +73,26 @@ def b16_robots_by_host(t):
     body = F.concat(F.lit("User-agent: mole\nDisallow: /\n\nUSER-AGENT: *\n"), F.array_join("lines", "\n"), F.lit("\nCrawl-delay: "), delay.cast("string"), F.lit("s\n\nUser-agent: *\nDisallow: /\n"))
     rules = robots_table.rules_by_host(host.where("has_file").select("host", body.alias("body")))
     return robots_table.judged(t.pages.select("page_id", "url"), rules).select("page_id", "host", "allowed", F.col("error").isNotNull().alias("in_error"), "interval_ms")
+
+
+_ESCAPED = r'''regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace(replace(replace(replace({0}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \r\n\t]+', ' ', 'g')), '([\\*`\[\]_])', '\\\1', 'g'), '^(-|\+ |=+|#{{1,6}} |~~~|>)', '\\\1'), '^(\d+)\. ', '\1\\. ')'''
+_TEXT = _ESCAPED.format("regexp_replace(x, '<[^>]*>', '', 'g')")
+
+
+@query(rf"""WITH l AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), lambda e: '*   [' || {_ESCAPED.format("regexp_extract(e, '>([^<>]*)</a>', 1)")} || '](' || regexp_extract(e, 'href="([^"]*)"', 1) || ')'), chr(10)) AS links,
+      {_ESCAPED.format("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad, {_ESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading, string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>') AS parts FROM pages),
+    p AS (SELECT page_id, i, x, contains(x, '<b>') AS opens, sum(contains(x, '<b>')::INT) OVER (PARTITION BY page_id ORDER BY i) AS n FROM (SELECT page_id, unnest(parts) AS x, unnest(range(len(parts))) AS i FROM l)),
+    q AS (SELECT page_id, i, repeat('**', CASE WHEN opens THEN least(n - 1, 3) + 1 ELSE least(n, 3) END::INT) AS mark, {_TEXT} AS text, contains(x, '<br>') AS broken FROM p),
+    b AS (SELECT page_id, string_agg(mark || text || CASE WHEN broken THEN '  ' || chr(10) ELSE '' END || mark, chr(10) || chr(10) ORDER BY i) AS body FROM q WHERE text <> '' GROUP BY page_id)
+    SELECT page_id, array_to_string(list_filter([links, ad, CASE WHEN heading <> '' THEN heading || chr(10) || repeat('=', length(heading)) END, body], lambda z: z <> ''), chr(10) || chr(10)) AS markdown, CAST(NULL AS VARCHAR) AS error FROM l LEFT JOIN b USING (page_id)""")
+def b03_page_markdown(t):
+    """The whole Markdown of every page. What is left bold by mistake goes on in the paragraphs that follow."""
+    return t.pages.select("page_id", html.markdown()("html").alias("m")).select("page_id", "m.*")
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS l FROM pages)
+    SELECT page_id, coalesce('[' || {_ESCAPED.format("regexp_extract(l[2], '>([^<>]*)</a>', 1)")} || '](' || regexp_extract(l[2], 'href="([^"]*)"', 1) || ')', '') AS second, CASE WHEN len(l) < 2 THEN 'ContentSelectorError' END AS error FROM a""")
+def b03_selected_markdown(t):
+    """What one selector of a page gives: the second entry of its menu, or an error of the page."""
+    found = t.pages.select("page_id", html.markdown("main nav, nav > ul:not(.x) li:nth-child(2) > a[href^='/'], li + li:nth-child(2) a")("html").alias("m"))
+    return found.select("page_id", F.coalesce("m.markdown", F.lit("")).alias("second"), "m.error")
