@@ -15,6 +15,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that no later step reads."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
 def first_rows(df: DataFrame, order: list[Column], part: float) -> DataFrame:
     """The first ceil(rows * part) rows of an order. The table is sorted in ranges and written once; of the ranges whole
     ones are kept, and only the one in which the cut falls is numbered."""

@@ -204,8 +204,8 @@ def test_ranks(spark):
 
 
 def test_included_items(spark):
-    docs = spark.createDataFrame([(1, "a" * 40 + "needle" + "b" * 40), (2, ""), (3, None), (4, "short")], "doc_id long, p string")
-    items = spark.createDataFrame([(1, "aaaaneedlebbbbbbbbbb"), (2, "need"), (3, ""), (4, None), (5, "a" * 39 + "c"), (6, "short")], "item_id long, q string")
+    docs = spark.createDataFrame([(1, "a" * 40 + "needle" + "b" * 40), (2, ""), (3, None), (4, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "aaaaneedlebbbbbbbbbb"), (2, "need"), (3, ""), (4, None), (5, "a" * 39 + "c"), (6, "short")], "item_id long, text string")
     got = sorted(map(tuple, verification.included_items(docs, items).collect()))
     assert got == [(1, 1), (1, 2), (1, 3), (2, 3), (4, 3), (4, 6)]
 
