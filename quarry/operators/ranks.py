@@ -39,15 +39,23 @@ def first_rows(df: DataFrame, order: list[Column], part: float) -> DataFrame:
     return ranges.drop("_range")
 
 
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, 3 ... over the whole table, which is sorted in ranges and written once; a row's number is its
+    place in its range after the sizes of the ranges before."""
+    ranges = written(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "sorted")
+    # One row for each range.
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    starts = [(at, sum(n for _, n in sizes[:i])) for i, (at, _) in enumerate(sizes)]
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _before long"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_place", inside).join(before, "_range").withColumn(out, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def placed(df: DataFrame, key: str, order: list[str], out: str, ranges: int = 64) -> DataFrame:
-    """Adds ``out``: 1, 2, 3 ... within each key by ``order``, whose first column is a number. Keys are numbered range by
-    range of that number, so that a key which holds a third of all rows is many tasks' work. Null keys are no keys: null."""
-    cuts = df.approxQuantile(order[0], [k / ranges for k in range(1, ranges)], 0.5 / ranges)
-    first = F.col(order[0]).cast("double")
-    at = F.lit(0)
-    for cut in sorted(set(cuts)):
-        at = at + F.coalesce((first > cut).cast("int"), F.lit(0))
-    dealt = df.where(F.col(key).isNotNull()).withColumn("_range", at)
+    """Adds ``out``: 1, 2, 3 ... within each key by ``order``. Rows are dealt to ranges of the order and written once;
+    keys are numbered range by range, so that a key which holds a third of all rows is many tasks' work. Null keys are
+    no keys: null."""
+    dealt = written(df.where(F.col(key).isNotNull()).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "placed")
     sizes = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(key, "_range").orderBy(*order))

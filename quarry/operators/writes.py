@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.operators import ranks
+
 
 def update(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """Sets the values where the condition holds (null: it does not)."""
@@ -12,13 +14,12 @@ def update(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
 
 def append(old: DataFrame, new: DataFrame, key: str, **defaults: Column) -> tuple[DataFrame, DataFrame]:
     """(table, added): ``new`` rows with defaults for what they leave out and keys after the greatest; keys follow the
-    order of the rows' values, so that a rerun gives the same. The new rows are few: one request's."""
-    from pyspark.sql import Window as W
-
-    last = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
+    order of the rows' values, so that a rerun gives the same. However many rows are new, no task sorts them all."""
+    last = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     columns = [c for c in old.columns if c != key]
     full = new.select(*(F.col(c) if c in new.columns else defaults.get(c, F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in columns))
-    added = full.crossJoin(F.broadcast(last)).withColumn(key, (F.col("_last") + F.row_number().over(W.orderBy(*columns))).cast(old.schema[key].dataType)).select(old.columns)
+    numbered = ranks.numbered(full, columns, "_number")
+    added = numbered.withColumn(key, (F.lit(last) + F.col("_number")).cast(old.schema[key].dataType)).select(old.columns)
     return old.unionByName(added), added
 
 

@@ -14,9 +14,10 @@ def a15_step_page_count(t):
     return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("o_orderpriority").alias("kinds"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey")
 def a17_error_pages(t):
-    return rel.page(t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.col("o_orderkey")], 100)
+    """All of them, latest first."""
+    return t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place, o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -42,10 +43,11 @@ def a29_without_jobs(t):
     return t.orders.where("o_orderstatus = 'O'").join(t.lineitem.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("SELECT o_custkey, o_orderkey, count(l_orderkey) AS items FROM (SELECT * FROM orders WHERE o_custkey < 50) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY o_orderkey DESC LIMIT 20")
+@query("SELECT o_custkey, o_orderkey, count(l_orderkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY o_orderkey DESC LIMIT 20")
 def a41_datasets_page(t):
-    counted = rel.with_count(t.orders.where("o_custkey < 50"), t.lineitem, "o_orderkey", "l_orderkey", "items")
-    return rel.page(counted, [F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "items")
+    """The first page of 20; what its rows hold is counted for them alone."""
+    first = rel.page(t.orders.select("o_custkey", "o_orderkey"), [F.desc("o_orderkey")])
+    return rel.with_count(first, t.lineitem, "o_orderkey", "l_orderkey", "items").select("o_custkey", "o_orderkey", "items")
 
 
 @query("""SELECT o_custkey, o_orderkey, total, place, count(l_orderkey) AS items FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS total,
@@ -64,9 +66,9 @@ def a42_array_search_count(t):
     return t.customer.where(F.col("c_name").ilike("%9%") | F.exists(F.split("c_name", "#"), lambda x: x.ilike("%77"))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey, n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 2 = 0) AS may_go FROM nation")
+@query("SELECT n_nationkey, n_nationkey NOT IN (SELECT s_nationkey FROM supplier) AS may_go FROM nation")
 def a46_delete_guard(t):
-    n = rel.with_count(t.nation, t.customer.where("c_nationkey % 2 = 0"), "n_nationkey", "c_nationkey", "n")
+    n = rel.with_count(t.nation, t.supplier, "n_nationkey", "s_nationkey", "n")
     return n.select("n_nationkey", (F.col("n") == 0).alias("may_go"))
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
-from quarry.operators import nested, relational as rel, writes
-from quarry.plans.catalogue import PRICES, query
+from quarry.operators import nested, ranks, relational as rel, writes
+from quarry.plans.catalogue import DOMAIN, PRICES, query
 
 
 def _joined(c: str):
@@ -278,21 +278,13 @@ def a69_deep_merge(t):
     return t.events.select("event_id", *(merged[k].alias(k) for k in ("mail", "theme", "extra")))
 
 
-_NAMED = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '^https?://', ''), '/.*$', ''), '^www\.', ''))"
-
-
-@query(f"SELECT page_id, dense_rank() OVER (ORDER BY regexp_extract({_NAMED}, '([^.]*[.][^.]*)$', 1)) AS institution FROM pages")
+@query(f"SELECT page_id, dense_rank() OVER (ORDER BY regexp_extract({DOMAIN}, '([^.]*[.][^.]*)$', 1)) AS institution FROM pages")
 def a70_update_any(t):
-    """Institutions out of the pages' domains, one for each registered name with all its hosts; then each page is given
-    the institution of which one domain is its own."""
-    from pyspark.sql import Window as W
-
-    domain = text.normalize_domain(F.col("url"))
-    named = t.pages.select(domain.alias("domain")).distinct().groupBy(F.regexp_extract("domain", "([^.]*[.][^.]*)$", 1).alias("name")).agg(F.collect_set("domain").alias("domains"))
-    # A row for each institution: numbering them is one small task.
-    numbered = named.withColumn("institution", F.row_number().over(W.orderBy("name")))
-    any_of = numbered.select("institution", F.explode("domains").alias("domain"))
-    return t.pages.select("page_id", domain.alias("domain")).join(any_of, "domain").select("page_id", "institution")
+    """Institutions out of the pages' domains, one for each registered name; then each page is given the institution that
+    its domain's name has."""
+    name = F.regexp_extract(text.normalize_domain(F.col("url")), "([^.]*[.][^.]*)$", 1).alias("name")
+    numbered = ranks.numbered(t.pages.select(name).distinct(), ["name"], "institution")
+    return t.pages.select("page_id", name).join(numbered, "name").select("page_id", "institution")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(o_orderpriority, 'none') AS step FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quarry.functions import urls
-from quarry.operators import forest, matching, similarity
+from quarry.functions import chunking, urls
+from quarry.operators import forest, matching, search, similarity
+from quarry.operators.frontier import Frontier
+from quarry.operators.ranks import written
 from quarry.plans import crawl
 from quarry.plans.catalogue import HOST, query
 from quarry.streaming import watch
@@ -74,3 +76,48 @@ def c09_stream(t):
     done = F.when(kind == "purchase", 2).when(kind.isin("view", "click"), 1).otherwise(0).cast("long")
     looks = t.events.select(F.col("user_id").alias("extraction_id"), F.col("ts").cast("timestamp").alias("at"), done.alias("done"), F.lit(2).cast("long").alias("total"), F.col("value").alias("cost"))
     return watch.watched(looks, 300.0)
+
+
+_TRIES = r"[CASE WHEN doc_id % 5 = 0 THEN '(' ELSE 'zz+' END, CASE doc_id % 3 WHEN 0 THEN '[.!?] ' WHEN 1 THEN '\n\n' ELSE ', ' END, '\n', '[.!?]\s+']"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, 2 + doc_id % 40 AS expected, {_TRIES} AS tries FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT doc_id, expected, k, CASE WHEN tries[k] <> '(' THEN len(list_filter(regexp_split_to_array(text, CASE WHEN tries[k] = '(' THEN 'x' ELSE tries[k] END), lambda c: regexp_matches(c, '\S'))) END AS n FROM d, range(1, 5) r(k)),
+    g AS (SELECT doc_id, min(k) FILTER (n > 0 AND abs(n - expected) <= CASE WHEN expected > 5 THEN expected // 10 ELSE 0 END) AS attempt, arg_min(n, k) FILTER (n > 0 AND abs(n - expected) <= CASE WHEN expected > 5 THEN expected // 10 ELSE 0 END) AS chunks FROM a GROUP BY doc_id)
+    SELECT doc_id, attempt, coalesce(chunks, 0) AS chunks, coalesce(attempt - 1, 4) AS failed FROM g""")
+def b24_attempts(t):
+    """Whole documents split by the expressions recorded for them, until one gives about as many parts as expected."""
+    k, lit = F.col("doc_id"), F.lit
+    tries = F.array(F.when(k % 5 == 0, lit("(")).otherwise(lit("zz+")), F.when(k % 3 == 0, lit("[.!?] ")).when(k % 3 == 1, lit("\\n\\n")).otherwise(lit(", ")), lit("\\n"), lit(r"[.!?]\s+"))
+    got = t.documents.where("text is not null").select("doc_id", chunking.split_by_attempts()(F.col("text"), tries, lit(None).cast("string"), (k % 40 + 2).cast("long")).alias("x"))
+    return got.select("doc_id", "x.attempt", F.coalesce(F.size("x.chunks"), lit(0)).alias("chunks"), F.size("x.errors").alias("failed"))
+
+
+_NEEDLES = ("Ring", "D WID", "le", "%", "gear ECON", "no such thing")
+
+
+@query(f"SELECT needle, p_partkey FROM part, (SELECT unnest({list(_NEEDLES)}) AS needle) WHERE contains(lower(p_name || ' ' || p_type), lower(needle))")
+def a39_indexed_search(t):
+    """Searches of names by an index of their trigrams: the same rows as reading them all, percent signs being letters."""
+    named = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    index = search.TrigramIndex(named, "p_partkey", "name")
+    return reduce(lambda a, b: a.unionByName(b), [index.search(n).select(F.lit(n).alias("needle"), "p_partkey") for n in _NEEDLES])
+
+
+_WORDS = """SELECT url, lower(regexp_extract(html, '<h1>[^A-Za-z]*([A-Za-z]+)', 1)) AS word, list_transform(regexp_extract_all(html, '<li><a href="/([A-Za-z]+)"', 1), lambda x: lower(x)) AS menu, page_id FROM pages"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_WORDS}), l AS (SELECT url, '/' || unnest(menu) AS link FROM p UNION SELECT '/' || word, url FROM p WHERE word <> ''),
+    r AS (SELECT url, 0 AS level FROM p WHERE menu = [] OR word LIKE 'a%' UNION SELECT l.link, level + 1 FROM r JOIN l USING (url) WHERE level < 8) SELECT url, min(level) AS level FROM r GROUP BY url""")
+def c05_recorded_crawl(t):
+    """A crawl of the recorded pages over their menus, eight steps far: a menu's word leads to the pages whose heading
+    begins with it. It starts at the pages without a menu, or with an A."""
+    word = F.lower(F.regexp_extract("html", "<h1>[^A-Za-z]*([A-Za-z]+)", 1))
+    menu = F.transform(F.regexp_extract_all("html", F.lit('<li><a href="/([A-Za-z]+)"'), F.lit(1)), F.lower)
+    p = written(t.pages.select("url", word.alias("word"), menu.alias("menu")), "pages")
+    link = p.select("url", F.explode(F.transform("menu", lambda w: F.concat(F.lit("/"), w))).alias("link")).unionByName(p.where("word <> ''").select(F.concat(F.lit("/"), "word").alias("url"), F.col("url").alias("link"))).distinct()
+    frontier = Frontier(t.spark)
+    try:
+        return written(frontier.crawl(p.where((F.size("menu") == 0) | F.col("word").startswith("a")).select("url"), link, crawl.MAX_DEPTH), "crawl")
+    finally:
+        frontier.drop()
