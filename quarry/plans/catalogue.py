@@ -30,6 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
     def add(f):
         k = name or f.__name__
         QUERIES[k] = lambda spark, folder: f(Tables(spark, folder))
+        QUERIES[k].plain = f  # for queries over parts of the same tables
         if sql:
             ORACLE_SQL[k] = sql
         return f

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry.plans import catalogue, exports, frontier, lifecycle, nested, recipes, verified, watched  # noqa: F401  (the others add their queries to the catalogue)
+from quarry.plans import answered, catalogue, exports, frontier, lifecycle, nested, recipes, verified, watched  # noqa: F401  (the others add their queries to the catalogue)
 
 DATA = "/root/testdata/sf0.001"
 
