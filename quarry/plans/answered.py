@@ -116,3 +116,43 @@ def b29_answers(t):
     x = answers.parsed(F.when(k > 0, body).otherwise("not JSON {"))
     split, catalogue, courses = answers.split_expression(F.col("x")), answers.catalogue_type(F.col("x")), answers.several_courses(F.col("x"))
     return t.events.select("event_id", x.alias("x")).select("event_id", answers.page_type(F.col("x")).alias("page_type"), catalogue["value"].alias("catalogue_type"), catalogue["error"].alias("catalogue_error"), courses["value"].alias("several"), courses["error"].alias("several_error"), answers.is_present(F.col("x")).alias("present"), split["expected"].alias("expected"), split["error"].alias("split_error"))
+
+
+@query(r"""WITH c AS (SELECT user_id AS site, value, event_type, (k - 1) // 24 + 1 AS depth, (k - 1) % 24 AS j FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 72),
+    r AS (SELECT site, depth, CASE WHEN j <= 13 THEN 0 WHEN j <= 19 THEN 1 ELSE 2 END AS level, CASE WHEN j <= 13 THEN 0 WHEN j < 19 THEN j - 13 WHEN j = 19 THEN 1 ELSE j - 19 END AS page,
+        CASE WHEN j <= 6 THEN 'type' WHEN j <= 10 THEN 'pagination' WHEN j <= 13 THEN 'regexp' WHEN j = 19 THEN 'regexp' ELSE 'type' END AS task, CASE WHEN j <= 6 THEN j + 1 WHEN j <= 10 THEN j - 6 WHEN j <= 13 THEN j - 10 ELSE 1 END AS try,
+        CASE WHEN j <= 6 THEN CASE WHEN value < 40 AND site % 7 <> 0 THEN 'CATEGORY_LINKS' WHEN value < 60 THEN 'DETAIL_LINKS' ELSE 'DETAIL' END WHEN j BETWEEN 7 AND 13 OR j = 19 THEN event_type
+          WHEN j <= 18 THEN CASE WHEN value > 150 THEN 'DETAIL_LINKS' ELSE ['CATEGORY_LINKS', 'CATEGORY_LINKS', 'DETAIL', 'DETAIL_LINKS'][(site + depth) % 4 + 1] END ELSE CASE WHEN site % 5 = 0 THEN 'DETAIL_LINKS' ELSE 'DETAIL' END END AS answer FROM c),
+    n AS (SELECT site, depth, level, page, task, answer, count(*) AS n, max(try) AS reached FROM r GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, depth, level, page, task ORDER BY n DESC, reached) AS place FROM n) WHERE place = 1),
+    t AS (SELECT site, depth, level, min(answer) FILTER (task = 'type') AS lo, max(answer) FILTER (task = 'type') AS hi, any_value(answer) FILTER (task = 'regexp') AS re, any_value(answer) FILTER (task = 'pagination') AS pg FROM b GROUP BY ALL),
+    s AS (SELECT z.site, z.depth, z.lo AS t0, coalesce(z.re, '') AS r0, coalesce(z.pg, '') AS p, o.lo AS t1, o.hi AS h1, coalesce(o.re, '') AS r1, w.lo AS t2, w.hi AS h2 FROM t z LEFT JOIN t o ON o.site = z.site AND o.depth = z.depth AND o.level = 1 LEFT JOIN t w ON w.site = z.site AND w.depth = z.depth AND w.level = 2 WHERE z.level = 0),
+    e AS (SELECT *, CASE WHEN t0 = 'DETAIL' THEN NULL WHEN t1 IS NULL THEN 'links: no results' WHEN t1 <> h1 THEN 'links: mixed results' WHEN t0 = 'DETAIL_LINKS' AND t1 <> 'DETAIL' THEN 'links: expected details, found ' || t1 WHEN t1 = 'DETAIL' THEN NULL
+        WHEN t2 IS NULL THEN 'links of links: no results' WHEN t2 <> h2 THEN 'links of links: mixed results' WHEN t1 = 'DETAIL_LINKS' AND t2 <> 'DETAIL' THEN 'links of links: expected details, found ' || t2 WHEN t1 = 'CATEGORY_LINKS' AND depth = 3 THEN 'categories too deep' END AS error,
+        CASE WHEN t0 = 'DETAIL' THEN 'DETAIL||' || p ELSE t0 || '|' || r0 || '|' || p || ' > ' || t1 || '|' || CASE WHEN t1 = 'DETAIL' THEN '' ELSE r1 END || '|' || p || CASE WHEN t1 = 'DETAIL' THEN '' ELSE ' > ' || t2 || '||' || p END END AS levels FROM s),
+    f AS (SELECT *, error IS NULL AND t0 <> 'DETAIL' AND t1 = 'CATEGORY_LINKS' AS again FROM e),
+    g AS (SELECT a.site, CASE WHEN a.error IS NOT NULL THEN a.error WHEN NOT a.again THEN NULL WHEN b.site IS NULL THEN 'no page type' WHEN b.error IS NOT NULL THEN b.error WHEN NOT b.again THEN NULL WHEN c.site IS NULL THEN 'no page type' ELSE c.error END AS error,
+        a.levels || CASE WHEN a.again THEN ' >> ' || b.levels || CASE WHEN b.again THEN ' >> ' || c.levels ELSE '' END ELSE '' END AS configuration
+        FROM f a LEFT JOIN f b ON b.site = a.site AND b.depth = 2 LEFT JOIN f c ON c.site = a.site AND c.depth = 3 WHERE a.depth = 1)
+    SELECT site, CASE WHEN site % 11 = 0 THEN 'vendor' END AS provider, CASE WHEN site % 11 <> 0 AND error IS NULL THEN configuration END AS configuration, CASE WHEN site % 11 <> 0 THEN error END AS error FROM g""")
+def b_det_recursive(t):
+    """Recorded answers about each site's pages, up to three steps of categories deep, made into a configuration or the
+    reason why there is none."""
+    from quarry.operators import detection, retries
+
+    j, value, site, depth = F.col("j"), F.col("value"), F.col("site"), F.col("depth")
+    calls = retries.first_calls(t.events.select(F.col("user_id").alias("site"), "event_id", "event_type", "value"), "site", "event_id", 72, "k")
+    calls = calls.select("site", "event_type", "value", F.expr("(k - 1) div 24 + 1").cast("int").alias("depth"), F.expr("(k - 1) % 24").alias("j"))
+    below = F.element_at(F.array(*map(F.lit, ("CATEGORY_LINKS", "CATEGORY_LINKS", "DETAIL", "DETAIL_LINKS"))), ((site + depth) % 4 + 1).cast("int"))
+    told = j.between(7, 13) | (j == 19)
+    answer = (
+        F.when(told, F.col("event_type"))
+        .when(j <= 6, F.when((value < 40) & (site % 7 != 0), "CATEGORY_LINKS").when(value < 60, "DETAIL_LINKS").otherwise("DETAIL"))
+        .when(j <= 18, F.when(value > 150, "DETAIL_LINKS").otherwise(below))
+        .otherwise(F.when(site % 5 == 0, "DETAIL_LINKS").otherwise("DETAIL"))
+    )
+    level = F.when(j <= 13, 0).when(j <= 19, 1).otherwise(2)
+    page = F.when(j <= 13, 0).when(j < 19, j - 13).when(j == 19, 1).otherwise(j - 19)
+    task = F.when(j.between(7, 10), "pagination").when(told, "regexp").otherwise("type")
+    tried = F.when(j <= 6, j + 1).when(j <= 10, j - 6).when(j <= 13, j - 10).otherwise(1)
+    providers = t.events.where("user_id % 11 = 0").select(F.col("user_id").alias("site"), F.lit("vendor").alias("provider")).distinct()
+    return detection.configured(calls.select("site", "depth", level.alias("level"), page.alias("page"), task.alias("task"), tried.alias("try"), answer.alias("answer")), providers)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quarry.functions import chunking, urls
-from quarry.operators import forest, matching, search, similarity
+from quarry.operators import forest, matching, ranks, relational as rel, search, similarity
 from quarry.operators.frontier import Frontier
 from quarry.operators.ranks import written
 from quarry.plans import crawl
@@ -121,3 +121,22 @@ def c05_recorded_crawl(t):
         return written(frontier.crawl(p.where((F.size("menu") == 0) | F.col("word").startswith("a")).select("url"), link, crawl.MAX_DEPTH), "crawl")
     finally:
         frontier.drop()
+
+
+@query("""SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, c_custkey, coalesce(n, 0) AS recipes FROM nation JOIN customer ON c_nationkey = n_nationkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def a25_institution_rows(t):
+    """An institution's catalogues as rows with their places, however many it has: no row and no task holds them all."""
+    catalogues = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_nationkey", "c_custkey", (-F.col("c_acctbal")).alias("order"))
+    placed = ranks.placed(catalogues, "n_nationkey", ["order", "c_custkey"], "place")
+    return rel.with_count(placed, t.orders, "c_custkey", "o_custkey", "recipes").select("n_nationkey", "place", "c_custkey", "recipes")
+
+
+@query("""SELECT o_custkey, nth AS step, o_orderkey, l_partkey, CASE WHEN l_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY o_orderkey ORDER BY l_partkey, l_linenumber) END AS page
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def a12_extraction_rows(t):
+    """Every page of every step of every extraction, with its place in the step and the step's in the extraction; a step
+    without pages is one row. Places are made range by range, so neither a long step nor a long extraction is one task."""
+    steps = ranks.placed(t.orders.select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], "step")
+    pages = ranks.placed(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber"), "o_orderkey", ["l_partkey", "l_linenumber"], "page")
+    return steps.join(pages, "o_orderkey", "left").select("o_custkey", "step", "o_orderkey", "l_partkey", "page")
