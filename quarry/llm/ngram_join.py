@@ -39,6 +39,16 @@ from .hashing import mix, shingle_sets
 BUCKETS = 1 << 20
 #: A column with at least a 1/HOT part of all entries is hot; there are HOT of these at most, so they may be broadcast.
 HOT = 1 << 16
+#: Bits of a set's sketch, and its columns.
+SKETCH = 1024
+SKETCHES = [f"p{i}" for i in range(SKETCH // 64)]
+
+
+def sketched(s: np.ndarray) -> np.ndarray:
+    """Each shingle turns one bit over. Two sketches differ in no more bits than their sets do in shingles: shingles of
+    both turn the same bits in both."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -77,22 +87,22 @@ def _signatures(docs: DataFrame, keys: list[str], words: int, percent: int) -> D
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, d1, n, columns of each document's whole set."""
+    """doc_id, d1, n, columns of each document's whole set, and its sketch."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 found = shingle_sets(b.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), _lists(found)], ["doc_id", "d1", "n", "columns"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), _lists(found), *map(pa.array, np.stack([sketched(s) for s in found]).T.copy())], ["doc_id", "d1", "n", "columns", *SKETCHES])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, d1 long, n long, columns array<long>")
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id long, d1 long, n long, columns array<long>, {', '.join(f'{p} long' for p in SKETCHES)}")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked of the pairs (a, b), by their whole sets; in the JVM, so that no batch of sets is held beside them."""
     members = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
-    some = sets.join(members, "d1", "left_semi")
+    some = sets.select("d1", "columns").join(members, "d1", "left_semi")
     left, right = some.select(F.col("d1").alias("a"), F.col("columns").alias("x")), some.select(F.col("d1").alias("b"), F.col("columns").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
     return both.select("a", "b", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("linked"))
@@ -103,7 +113,7 @@ def _shared(percent: int) -> Column:
 
 
 def _open_sets(first: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """d1, n, columns of the sets that the first bound doesn't rule out."""
+    """d1, n, columns and sketches of the sets that the first bound doesn't rule out."""
     some = first.where("n > 0").select("doc_id", "d1", "n", "first")
     entries = some.select("d1", F.explode("first").alias("column"))
     # A column whose entries are all of one set, copies included, is not shared.
@@ -117,7 +127,7 @@ def _open_sets(first: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     # At most BUCKETS rows of one integer.
     buckets = live.select(wanted.alias("bucket")).distinct()
     found = _sets(docs.join(F.broadcast(buckets), wanted == F.col("bucket"), "left_semi"), words)
-    return written(found.join(live.select("d1", "n"), ["d1", "n"], "left_semi").select("d1", "n", "columns").dropDuplicates(["d1", "n"]), "sets")
+    return written(found.join(live.select("d1", "n"), ["d1", "n"], "left_semi").select("d1", "n", "columns", *SKETCHES).dropDuplicates(["d1", "n"]), "sets")
 
 
 def _matrix(sets: DataFrame, percent: int) -> DataFrame:
@@ -168,8 +178,11 @@ def grouped(docs: DataFrame, keys: list[str] | tuple = (), words: int = 5, perce
             # The largest group of each column; the rows outside of it are what is left to pair.
             groups = here.groupBy("column", "root").agg(F.count(F.lit(1)).alias("size"))
             largest = groups.groupBy("column").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("column", "main")
-            left = here.join(largest, "column").where("root != main").select("column", F.col("d1").alias("c"), F.col("n").alias("m"), F.col("at").alias("c_at"), F.col("root").alias("c_root"))
-            paired = here.join(left, "column").where(f"root != c_root and {near}")
+            rows = here.join(largest, "column").join(sets.select("d1", *SKETCHES), "d1")
+            left = rows.where("root != main").select("column", F.col("d1").alias("c"), F.col("n").alias("m"), F.col("at").alias("c_at"), F.col("root").alias("c_root"), *(F.col(p).alias(f"c_{p}") for p in SKETCHES))
+            # Linked sets differ in no more shingles than this, so their sketches in no more bits.
+            bits = " + ".join(f"bit_count({p} ^ c_{p})" for p in SKETCHES)
+            paired = rows.join(left, "column").where(f"root != c_root and {near} and {bits} <= n + m - 2 * (({percent} * (n + m) + {99 + percent}) div {100 + percent})")
         pairs = paired.select(F.least("c", "d1").alias("a"), F.greatest("c", "d1").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")

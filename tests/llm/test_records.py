@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import conversations, hard_negatives, queries, token_files
+from quarry.llm import conversations, hard_negatives, ngram_join, queries, token_files
 
 SF = "/root/testdata/sf0.001"
 WORDS = queries.vocabulary("word_bpe_49k.json")
@@ -89,6 +89,20 @@ def test_token_files_query(spark):
     assert not rows
 
 
+# --- sketches of the n-gram join
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do_in_shingles():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 200, 3000):
+        for kept in (0, 0.5, 0.9, 1):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < kept], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+            bits = sum(int(x).bit_count() for x in (ngram_join.sketched(a) ^ ngram_join.sketched(b)).view(np.uint64))
+            apart = len(np.setxor1d(a, b))
+            assert bits <= apart and (apart - bits) % 2 == 0 and (apart > 40 or bits >= apart - 6)
+
+
 # --- conversations
 
 
