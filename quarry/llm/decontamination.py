@@ -6,7 +6,10 @@ and Myers' bit-parallel algorithm gives the edit distance of the item to the pla
 
 Texts and items are compared with letters lower-cased and white space runs as one space. The budget is ``percent`` of an
 item's length, rounded down: an item of fewer than 100 / percent characters must be there as it is. Null or blank texts
-and items match nothing; an empty benchmark finds nothing and keeps every row. Repeated rows: each is searched.
+and items match nothing; an empty benchmark finds nothing and keeps every row. Repeated documents: each is searched;
+repeated items (id and text): found once. Items that share an id, or have none, are items of their own: a document has
+a row for each of them that it holds. ``start`` and ``end`` bound the place in the compared text (code points, end
+exclusive): of the places of least distance the one that ends first, and of those that end there the shortest.
 Benchmarks of any size: searched block by block, one pass over the documents for each block of ``block_chars``
 characters. Very long texts: searched whole, one at a time, in memory that grows with that text. Other columns are
 ignored by ``find`` and pass through ``clean`` untouched, whatever their names.
@@ -36,8 +39,9 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """The least edit distance of ``pattern`` to any substring of ``text``, and where such a substring ends first."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of ``pattern`` to any substring of ``text`` (anchored: to any that begins where the text
+    does), and where such a substring ends first."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -54,7 +58,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score += 1
         elif down & top:
             score -= 1
-        up, down = up << 1 & full, down << 1 & full
+        up, down = (up << 1 | anchored) & full, down << 1 & full
         plus = down | (full & ~(diagonal | up))
         minus = up & diagonal
         if score < best:
@@ -63,12 +67,13 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[int, str]], percent: int):
+    def __init__(self, items: list[tuple[int | None, str]], percent: int):
         import ahocorasick
 
-        self.items = {i: (t, len(t) * percent // 100) for i, t in items}
+        self.items = [(t, len(t) * percent // 100) for _, t in items]
+        self.ids = [i for i, _ in items]
         heads: dict[str, list[tuple[int, int]]] = {}
-        for i, (t, budget) in self.items.items():
+        for i, (t, budget) in enumerate(self.items):
             for offset, piece in pieces(t, budget):
                 heads.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -78,7 +83,7 @@ class Searcher:
             self.automaton.make_automaton()
         self.empty = not heads
 
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item, distance, start, end) of each item's nearest place within its budget; places in the normal text."""
         if self.empty or not text:
             return []
@@ -91,7 +96,7 @@ class Searcher:
             item, budget = self.items[i]
             exact = next((s for s in at if s >= 0 and text.startswith(item, s)), None)
             if exact is not None:
-                out.append((i, 0, exact, exact + len(item)))
+                out.append((self.ids[i], 0, exact, exact + len(item)))
                 continue
             if not budget:
                 continue
@@ -104,11 +109,14 @@ class Searcher:
                 a = max(0, low - budget)
                 distance, end = myers(item, text[a : max(a, high + len(item) + budget)])
                 if distance < best[0]:
-                    best = (distance, max(a, a + end - len(item)), a + end)
+                    best = (distance, a, a + end)
                 if s is not None:
                     low = high = s
-            if best[0] <= budget:
-                out.append((i, *best))
+            distance, a, end = best
+            if distance <= budget:
+                # Read backwards from its end, the place begins where the distance is reached first.
+                _, length = myers(item[::-1], text[a:end][::-1], anchored=True)
+                out.append((self.ids[i], distance, end - length, end))
         return out
 
 
@@ -116,11 +124,11 @@ def blocks(benchmark: DataFrame, percent: int, block_chars: int) -> Iterator[Blo
     """Blocks of at most about ``block_chars`` characters of items, which are dealt to them by hash. One is made at a
     time: the driver and the tasks hold no more than one block's items."""
     small_batches(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and trim(text) != ''")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("trim(text) != ''").distinct()
     n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        held = [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
+        held = list(dict.fromkeys((r["item_id"], t) for r in rows if (t := normal(r["text"]))))
         if held:
             yield Block(held, percent, n == 1)
 
@@ -130,7 +138,7 @@ class Block:
 
     built: dict = {}
 
-    def __init__(self, items: list[tuple[int, str]], percent: int, alone: bool = True):
+    def __init__(self, items: list[tuple[int | None, str]], percent: int, alone: bool = True):
         self.items, self.percent, self.alone, self.key = items, percent, alone, (percent, hash_of(items))
 
     def searcher(self) -> Searcher:
@@ -141,7 +149,7 @@ class Block:
         return Block.built[self.key]
 
 
-def hash_of(items: list[tuple[int, str]]) -> str:
+def hash_of(items: list[tuple[int | None, str]]) -> str:
     import hashlib
 
     return hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()

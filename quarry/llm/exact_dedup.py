@@ -20,6 +20,8 @@ from .common import SPACE, forget, written
 
 #: At most so many groups are hot: each holds at least a 1/HOT part of the rows, so the broadcast is bounded.
 HOT = 1000
+#: An index is made with about so many rows in a bucket, in LEAST buckets or more, and no more than Spark allows.
+BUCKET_ROWS, LEAST, MOST = 4_000_000, 32, 100_000
 INDEX = "digest binary, first_id long, copies long, fresh boolean, batch long"
 
 
@@ -27,12 +29,20 @@ def digest(text) -> F.Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ").cast("binary"), 256))
 
 
+def buckets_for(rows: int) -> int:
+    """How many buckets an index of so many rows should have: each is one task's sort."""
+    return min(MOST, max(LEAST, -(-rows // BUCKET_ROWS)))
+
+
 class DigestIndex:
-    """``name``: a table in the session's warehouse, which all executors must share on a cluster."""
+    """``name``: a table in the session's warehouse, which all executors must share on a cluster. ``buckets`` is for the
+    rows that the index shall hold (``buckets_for``) and fixed when it is made; one that exists keeps its own."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST):
         self.spark, self.name, self.buckets = spark, name, buckets
-        if not spark.catalog.tableExists(name):
+        if spark.catalog.tableExists(name):
+            self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+        else:
             empty = spark.createDataFrame([], INDEX)
             empty.write.partitionBy("batch").bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(name)
 
@@ -58,13 +68,17 @@ class DigestIndex:
         forget(rows)
         return batch
 
-    def decide_digests(self, slim: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
-        """doc_id, keys, keep_id, group_size (all copies in the index), kept, text_sha256: one row per row of ``slim``,
-        whose digests the index must have."""
+    def decided(self, slim: DataFrame) -> DataFrame:
+        """digest, keep_id, copies, here: what the index says of each digest of ``slim``; written."""
         here = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("here"))
         # The first batch of a digest says what stays; all of them count.
         known = self.rows().groupBy("digest").agg(F.min_by("first_id", "batch").alias("keep_id"), F.sum("copies").alias("copies"))
-        decided = written(known.join(here.hint("merge"), "digest"), "digests-decided")
+        return written(known.join(here.hint("merge"), "digest"), "digests-decided")
+
+    def decide_digests(self, slim: DataFrame, keys: list[str] | tuple = (), decided: DataFrame | None = None) -> DataFrame:
+        """doc_id, keys, keep_id, group_size (all copies in the index), kept, text_sha256: one row per row of ``slim``,
+        whose digests the index must have."""
+        decided = self.decided(slim) if decided is None else decided
         rows = slim.count()
         # Copies of one text may be a third of all rows: hot groups are few, so they are broadcast, the rest is merged.
         # Their rows in ``slim`` count, not those in the index: at most HOT groups hold a 1/HOT part of these.
@@ -84,13 +98,14 @@ def slim_of(docs: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, digest(F.col("text")).alias("digest"))
 
 
-def deduplicate(docs: DataFrame, name: str, batches: int = 2, keys: list[str] | tuple = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, name: str, batches: int = 2, keys: list[str] | tuple = (), buckets: int | None = None) -> DataFrame:
     """Decisions on a whole table by an index of its own, ``name``, to which it is added in batches of ascending doc_id:
     later batches are decided by the anti-join with earlier ones, and the smallest doc_id of a text comes first. Null
-    ids come last. The index is dropped once its decisions are written."""
+    ids come last. The index has buckets for the table's rows, unless ``buckets`` says otherwise; it is dropped, and what
+    was written on the way deleted, once its decisions are written."""
     spark = docs.sparkSession
     slim = written(slim_of(docs, keys), "digests")
-    index = DigestIndex(spark, name)
+    index, decided = DigestIndex(spark, name, buckets or buckets_for(slim.count())), None
     try:
         cuts = slim.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
         batch = F.lit(0)
@@ -99,6 +114,10 @@ def deduplicate(docs: DataFrame, name: str, batches: int = 2, keys: list[str] |
         batch = F.when(F.col("doc_id").isNull(), batches - 1).otherwise(batch)
         for k in range(batches):
             index.add_digests(slim.where(batch == k), k)
-        return written(index.decide_digests(slim, keys), "digests-rows")
+        decided = index.decided(slim)
+        return written(index.decide_digests(slim, keys, decided), "digests-rows")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for part in (slim, decided):
+            if part is not None:
+                forget(part)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import decontamination, lm_scoring, ngram_join, packing, pii, quality, queries, sharding, token_counts, url_filter
-from quarry.llm.exact_dedup import DigestIndex, deduplicate
+from quarry.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, class string, bucket int"
@@ -356,6 +356,16 @@ def test_exact_dedup_index_grows(spark):
     assert "Exchange" not in plan.partition("Physical Plan")[2]  # the buckets are read as they are
 
 
+def test_exact_dedup_buckets(spark, docs):
+    assert [buckets_for(n) for n in (0, 10**6, 10**9, 10**13)] == [32, 32, 250, 100_000]
+    try:
+        DigestIndex(spark, "digests_sized", buckets=7)
+        assert DigestIndex(spark, "digests_sized").buckets == 7  # an index keeps the buckets that it was made with
+    finally:
+        spark.sql("DROP TABLE IF EXISTS digests_sized")
+    assert sorted((tuple(r) for r in deduplicate(docs, "digests_three", buckets=3).collect()), key=str) == exact(ROWS)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_exact_dedup_batches_give_one_answer(docs, batches):
     assert sorted((tuple(r) for r in deduplicate(docs, f"digests_test_{batches}", batches=batches).collect()), key=str) == exact(ROWS)
@@ -453,15 +463,61 @@ def distance(item, text):
     return min(row)
 
 
+def whole_distance(item, text):
+    row = list(range(len(text) + 1))
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def place(item, text):
+    """The least distance, the first end that has it, and the latest start that has it with this end."""
+    best = distance(item, text)
+    end = next(n for n in range(len(text) + 1) if distance_to_end(item, text[:n]) == best)
+    start = next(a for a in range(end, -1, -1) if whole_distance(item, text[a:end]) == best)
+    return best, start, end
+
+
+def distance_to_end(item, text):
+    return min(whole_distance(item, text[a:]) for a in range(max(0, len(text) - 2 * len(item)), len(text) + 1))
+
+
+def test_decontamination_places(spark):
+    item = "the quick brown fox jumps over a lazy dog by the river bank at dawn"
+    gone = item[:1] + item[3:]  # two of the first characters are missing
+    texts = [f"before it {gone} after", f"so {item} and", f"x {item[:30]}##{item[30:]} y", f"{item[2:]}", f"it says {item[:-2]} there", f"{gone[:20]}?{gone[21:]} {item}"]
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.distance, r.start, r.end) for r in decontamination.find(frame(spark, rows), bench).collect()}
+    assert got == {i: place(item, t) for i, t in rows}
+    assert got[0][1:] == (10, 10 + len(gone))
+
+
+def test_decontamination_items_are_their_texts(spark):
+    """Items that share an id, or have none, are each searched; a repeated item is found once."""
+    one, two, three = "alpha beta gamma delta epsilon", "one two three four five six", "red orange yellow green blue"
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (None, three)], "item_id long, text string")
+    rows = [(1, f"a {one} b"), (2, f"a {two} b"), (3, f"a {three} b"), (4, f"{one} {two}"), (5, "none of them")]
+    found = decontamination.find(frame(spark, rows), bench)
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == [(1, 1), (2, 1), (3, None), (4, 1), (4, 1)]
+    assert [r.doc_id for r in decontamination.clean(frame(spark, rows), bench).collect()] == [5]
+
+
 def test_myers():
     for _ in range(200):
         p, t = ("".join(rng.choice("ab ") for _ in range(rng.randrange(1, n))) for n in (90, 120))
         d, end = decontamination.myers(p, t)
         assert d == distance(p, t) and 0 <= end <= len(t)
+        d, end = decontamination.myers(p, t, anchored=True)
+        ends = [whole_distance(p, t[:n]) for n in range(len(t) + 1)]
+        assert (d, end) == (min(ends), ends.index(min(ends)))
 
 
 def test_decontamination(spark, docs):
-    items = [(i, words(rng.randrange(8, 40))) for i in range(8)] + [(90, None), (91, "  "), (None, "w1")]
+    items = [(i, words(rng.randrange(8, 40))) for i in range(8)] + [(90, None), (91, "  ")]
     rows = list(ROWS)
     for k, (_, t) in enumerate(items[:8]):
         for edits in (0, 1, 3, 20):
