@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import decontamination, ngram_join, packing, quality
-from quarry.llm.common import ROW, numbered, shared_dir, table, written
+from quarry.llm.common import ROW, forget, numbered, shared_dir, table, written
 from quarry.llm.queries import deduplicated, vocabulary
 
 
@@ -62,5 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:  # the stage before is written out in full: its rows are read no more
+            forget(docs)
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
