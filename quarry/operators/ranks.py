@@ -51,7 +51,7 @@ def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     return ranges.withColumn("_place", inside).join(before, "_range").withColumn(out, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
-def placed(df: DataFrame, key: str, order: list[str], out: str, ranges: int = 64) -> DataFrame:
+def placed(df: DataFrame, key: str, order: list[Column | str], out: str, ranges: int = 64) -> DataFrame:
     """Adds ``out``: 1, 2, 3 ... within each key by ``order``. Rows are dealt to ranges of the order and written once;
     keys are numbered range by range, so that a key which holds a third of all rows is many tasks' work. Null keys are
     no keys: null."""

@@ -205,13 +205,15 @@ def c04_paginated_steps(t):
     return made.select("step", "url", F.lit("FETCH_PAGINATED").alias("kind"), F.lit("CATEGORY_LINKS").alias("page_type"), (-(F.col("at") + 1)).cast("long").alias("priority"))
 
 
-@query(f"""SELECT DISTINCT page_id AS parent, {_ORIGIN} || l AS url, 'FETCH_LINKS' AS kind, 'DETAIL' AS page_type FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS l FROM pages WHERE page_id % 2 = 1)
-    WHERE {_ORIGIN} || l NOT IN (SELECT {_ORIGIN} || l FROM (SELECT url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS l FROM pages WHERE page_id % 2 = 0))""")
+@query(f"""WITH l AS (SELECT page_id, {_ORIGIN} || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link, url FROM pages)
+    SELECT DISTINCT page_id AS parent, link AS url, 'FETCH_LINKS' AS kind, 'DETAIL' AS page_type FROM l
+    WHERE NOT EXISTS (SELECT 1 FROM pages h WHERE h.url = l.link) AND page_id = (SELECT min(m.page_id) FROM l m WHERE m.link = l.link)""")
 def c05_link_steps(t):
-    """Links of the pages in hand (odd) less those that the extraction had before (of even ones), as a step's rows."""
+    """Links of all pages, less those whose page the extraction has, as a step's rows; each is the step of the first page
+    that has it."""
     links = t.pages.select("page_id", F.explode(F.transform(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)), lambda p: F.concat(urls.origin(F.col("url")), p))).alias("url"))
-    new = links.where("page_id % 2 = 1").distinct().join(links.where("page_id % 2 = 0").select("url"), "url", "left_anti")
-    return new.select(F.col("page_id").alias("parent"), "url", F.lit("FETCH_LINKS").alias("kind"), F.lit("DETAIL").alias("page_type"))
+    first = links.groupBy("url").agg(F.min("page_id").alias("parent"))
+    return first.join(t.pages.select("url"), "url", "left_anti").select("parent", "url", F.lit("FETCH_LINKS").alias("kind"), F.lit("DETAIL").alias("page_type"))
 
 
 @query("""SELECT l_orderkey, count(*) FILTER (there) AS items, CASE WHEN any_value(stop) THEN 'IN_PROGRESS' WHEN count(*) FILTER (there) > 0 THEN 'SUCCESS' ELSE 'EXTRACTED_NO_DATA' END AS status,
@@ -244,10 +246,11 @@ def c09_looks(t):
     return o.select("o_custkey", completion.decided(F.lit("IN_PROGRESS"), F.col("cost"), F.lit(1e6), F.col("same"), F.col("whole"), F.col("o_custkey") * 60, F.col("queued")).alias("status"))
 
 
-@query("""SELECT o_orderkey, o_custkey, dataset FROM (SELECT * FROM orders WHERE o_custkey % 2 = 0 AND (o_orderstatus = 'P' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))), (VALUES (0), (1)) d(dataset)""")
+@query("""SELECT o_orderkey, o_custkey, dataset FROM (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) AND (o_orderstatus = 'P' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))), (VALUES (0), (1)) d(dataset)""")
 def c10_retry_failed(t):
-    """Failed or empty pages of complete extractions (even) are fetched again for every dataset (two)."""
-    some = t.orders.where("o_custkey % 2 = 0").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("full", F.lit(True)), "o_orderkey", "left")
+    """Failed or empty pages of complete extractions (customers who owe nothing) are fetched again for every dataset (two)."""
+    complete = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    some = t.orders.join(complete, "o_custkey", "left_semi").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("full", F.lit(True)), "o_orderkey", "left")
     again = some.where("o_orderstatus = 'P' or full is null")
     return again.select("o_orderkey", "o_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("dataset"))
 
@@ -300,10 +303,10 @@ def s05_robots_by_host(t):
     return pages.join(recorded, "host").select("page_id", "robots_url", F.when(F.col("http") == 200, F.col("text")).alias("body"))
 
 
-@query("""SELECT conv_id, turn, turn // 2 AS page, ceil(count(*) OVER (PARTITION BY conv_id) / 2.0)::BIGINT AS calls, 'C' || conv_id || '-' || turn AS course_id FROM conversations WHERE conv_id % 2 = 0""")
+@query("""SELECT conv_id, turn, turn // 2 AS page, ceil(count(*) OVER (PARTITION BY conv_id) / 2.0)::BIGINT AS calls, 'C' || conv_id || '-' || turn AS course_id FROM conversations WHERE conv_id IS NOT NULL""")
 def s06_vendor_pages(t):
-    """A vendor's listing, two rows a page (recorded turns), of the catalogues that are asked for (even), as items."""
-    asked = t.conversations.where("conv_id % 2 = 0")
+    """A vendor's listings, two rows a page (recorded turns), of all catalogues, as items."""
+    asked = t.conversations.where("conv_id is not null")
     calls = asked.groupBy("conv_id").agg(F.ceil(F.count(F.lit(1)) / 2).alias("calls"))
     return asked.join(calls, "conv_id").select("conv_id", "turn", F.expr("turn div 2").alias("page"), "calls", F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("course_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from quarry.functions import text, urls
-from quarry.operators import relational as rel, writes
+from quarry.operators import ranks, relational as rel, writes
 from quarry.plans.catalogue import HOST, query
 
 
@@ -23,8 +23,8 @@ def a17_error_pages(t):
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place, o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def a17_all_error_pages(t):
     """Every error page of every extraction (o_custkey), with its place in the extraction's list."""
-    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate", place.alias("place"), "o_custkey")
+    errors = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate", "o_custkey")
+    return ranks.placed(errors, "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], "place")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'fetch' ELSE 'extract' END AS work FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
@@ -54,10 +54,11 @@ def a41_datasets_page(t):
         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey
     WHERE place <= 20 GROUP BY ALL""")
 def a41_datasets_pages(t):
-    """The first page of 20 of every parent, each row with the parent's total."""
-    total = F.count(F.lit(1)).over(W.partitionBy("o_custkey"))
+    """The first page of 20 of every parent, each row with the parent's total. Totals are counted apart, so that each
+    task keeps 20 rows of a parent before the shuffle."""
+    total = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
-    paged = t.orders.select("o_custkey", "o_orderkey", total.alias("total"), place.alias("place")).where("place <= 20")
+    paged = t.orders.select("o_custkey", "o_orderkey", place.alias("place")).where("place <= 20").join(total, "o_custkey")
     return rel.with_count(paged, t.lineitem, "o_orderkey", "l_orderkey", "items").select("o_custkey", "o_orderkey", "total", "place", "items")
 
 
