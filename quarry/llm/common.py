@@ -50,21 +50,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Names of the columns that tell rows apart; no table of documents is thought to have them.
+#: Names of the columns that tell rows apart, for tables that don't have them (else see ``row_names``).
 ROW = ("_row_file", "_row_place")
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with the columns ROW, by which each row is told from all others: the file that it is read from and its
+def row_names(df: DataFrame) -> tuple[str, str]:
+    """ROW, or with as many underscores after both names as make them new to ``df``."""
+    taken, names = {c.lower() for c in df.columns}, ROW
+    while taken & set(names):
+        names = tuple(f"{n}_" for n in names)
+    return names
+
+
+def numbered(df: DataFrame, names: tuple[str, str] = ROW) -> DataFrame:
+    """``df`` with the columns ``names``, by which each row is told from all others: the file that it is read from and its
     place there, so that a row keeps its number however often, and by however many executors, the files are read.
     A table that is not read from files is written first."""
     try:
         where = df.metadataColumn("_metadata")
-        out = df.select("*", F.xxhash64(where["file_path"]).alias(ROW[0]), where["row_index"].alias(ROW[1]))
+        out = df.select("*", F.xxhash64(where["file_path"]).alias(names[0]), where["row_index"].alias(names[1]))
         out.schema  # noqa: B018  (resolves the columns)
         return out
     except AnalysisException:
-        return numbered(written(df, "numbered"))
+        return numbered(written(df, "numbered"), names)
 
 
 def forget(df: DataFrame) -> None:

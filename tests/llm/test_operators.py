@@ -618,6 +618,16 @@ def test_pipeline_decides_by_row(spark):
         assert got == sorted([(3, "same text"), (5, "a text of its own"), (7, "twice"), (None, "no id")], key=str)
 
 
+def test_pipeline_stages_keep_columns_with_the_names_of_row_numbers(spark):
+    import corpus_pipeline as p
+
+    rows = [(3, "same text", 1, "a"), (5, "Same text", 2, "b"), (7, "same  text", 3, "c"), (9, "another one", 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_file long, _ROW_PLACE_ string")
+    for stage, ids in ((p.distinct_texts, [3, 5, 9]), (p.distinct_groups, [3, 9])):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[0] in ids]
+
+
 def test_pipeline_without_labels_or_benchmark(spark, docs, tmp_path):
     import corpus_pipeline as p
 
