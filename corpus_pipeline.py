@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import decontamination, ngram_join, packing, quality
-from quarry.llm.common import ROW, forget, numbered, shared_dir, table, written
+from quarry.llm.common import forget, numbered, row_names, shared_dir, table, written
 from quarry.llm.queries import deduplicated, vocabulary
 
 
@@ -22,27 +22,29 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The numbered rows of ``docs`` that are not among the numbers of ``gone``."""
-    return docs.join(gone.select(*ROW), list(ROW), "left_anti").drop(*ROW)
+def without(docs: DataFrame, gone: DataFrame, row: tuple[str, str]) -> DataFrame:
+    """The rows of ``docs`` whose numbers, ``row``, are not among those of ``gone``."""
+    return docs.join(gone.select(*row), list(row), "left_anti").drop(*row)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text: the smallest doc_id that is not null; of several rows with that id, the first by ROW."""
-    docs = numbered(docs)
-    judged = deduplicated(docs, ROW)
-    first = judged.where("kept").groupBy("text_sha256").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    again = judged.where("kept").join(first, "text_sha256").where(F.struct(*ROW) != F.col("first"))
-    return without(docs, judged.where("not kept").select(*ROW).unionByName(again.select(*ROW)))
+    """One row of each text: the smallest doc_id that is not null; of several rows with that id, the first by its number."""
+    row = row_names(docs)
+    docs = numbered(docs, row)
+    judged = deduplicated(docs, row)
+    first = judged.where("kept").groupBy("text_sha256").agg(F.min(F.struct(*row)).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = judged.where("kept").join(first, "text_sha256").where(F.struct(*row) != F.col("first"))
+    return without(docs, judged.where("not kept").select(*row).unionByName(again.select(*row)), row)
 
 
 def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the smallest doc_id that is not null, then the first by ROW. Rows without words stay."""
-    docs = numbered(docs)
-    found = written(ngram_join.grouped(docs, ROW), "pipeline-groups").where("component is not null")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *ROW)
+    """One row of each component: the smallest doc_id that is not null, then the first by its number. Rows without words stay."""
+    row = row_names(docs)
+    docs = numbered(docs, row)
+    found = written(ngram_join.grouped(docs, row), "pipeline-groups").where("component is not null")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *row)
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return without(docs, found.join(first, "component").where(order != F.col("first")))
+    return without(docs, found.join(first, "component").where(order != F.col("first")), row)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
