@@ -1,4 +1,5 @@
-"""Similar vectors by random hyperplanes: rows that agree on all signs of one of several sets of planes are compared."""
+"""Similar vectors, by random hyperplanes (rows that agree on all signs of one of several sets of planes are compared) or,
+where no pair may be missed, by products of blocks of rows with each other."""
 
 from __future__ import annotations
 
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.operators.ranks import written
 
 SEED = 20250607
+#: Numbers of a group of vectors, two of which are in one task; rows of a block of a group, whose products with another are held at a time.
+GROUP_NUMBERS, BLOCK = 1 << 22, 2048
+#: Products of blocks differ from cosines by rounding; within this of the threshold, the cosine decides.
+NEAR = 1e-9
 
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
@@ -25,6 +30,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up one number after the other."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out += x[:, k] * y[:, k]
+    return out
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One root of the product of squares: exact where rows hold quarters and the like, so that ties with the threshold count."""
+    return _sums(x, y) / np.sqrt(_sums(x, x) * _sums(y, y))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.99, bits: int | None = None) -> DataFrame:
     """vectors: id, vector (of one length, without nulls). a < b, cosine: pairs at or above the threshold, each once.
 
@@ -54,7 +72,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0
             if not b.num_rows:
                 continue
             x, y = _matrix(b.column(2)), _matrix(b.column(3))
-            dot = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+            dot = _cosines(x, y)
             keep = pa.array(dot >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(dot).filter(keep)], ["a", "b", "cosine"])
 
@@ -72,11 +90,86 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.join(least, "vector", "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
-def linked(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.99) -> DataFrame:
-    """id, class, links (other classes with a similar vector), best (the greatest cosine to one of them)."""
+def _counted(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links and best cosine of each row of x, and of y, to rows of the other; ``same``: both are one group, in which each
+    pair counts once for either row."""
+    units = [v / np.sqrt(_sums(v, v))[:, None] for v in (x, y)]
+    links, best, at = ([np.full(len(v), e, k) for v in (x, y)] for e, k in ((0, np.int64), (-2.0, np.float64), (-1, np.int64)))
+    for i in range(0, len(x), BLOCK):
+        for j in range(i if same else 0, len(y), BLOCK):
+            product = units[0][i : i + BLOCK] @ units[1][j : j + BLOCK].T
+            if same and i == j:
+                product[np.tril_indices(len(product))] = -2
+            r, c = np.nonzero(np.abs(product - threshold) <= NEAR)
+            for part in range(0, len(r), 1 << 16):
+                p, q = r[part : part + (1 << 16)], c[part : part + (1 << 16)]
+                out = _cosines(x[i + p], y[j + q]) < threshold
+                product[p[out], q[out]] = -2
+            held = product >= threshold - NEAR
+            for side, start in ((0, i), (1, j)):
+                n, most = held.sum(1 - side), product.argmax(1 - side)
+                value = product[np.arange(len(n)), most] if side == 0 else product[most, np.arange(len(n))]
+                more = np.flatnonzero((n > 0) & (value > best[side][start : start + len(n)]))
+                links[side][start : start + len(n)] += n
+                best[side][start + more], at[side][start + more] = value[more], (j if side == 0 else i) + most[more]
+    for side, (own, other) in enumerate(((x, y), (y, x))):
+        for part in range(0, len(own), 1 << 16):
+            rows = part + np.flatnonzero(links[side][part : part + (1 << 16)])
+            best[side][rows] = _cosines(own[rows], other[at[side][rows]])
+    return links, best
+
+
+def counted_links(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """vectors: id, vector (of one length, without nulls), each id once. id, links (other rows with a cosine of at least
+    the threshold), best (the greatest of these): rows that have any.
+
+    All pairs are compared, so work grows with the square of the rows. They are dealt to groups, and each two groups meet
+    in a task of their own, which holds a product of BLOCK rows with BLOCK others at a time and gives sums by row: no
+    task holds pairs, and a task's memory stays the same however many rows there are."""
+    rows = vectors.where(F.exists("vector", lambda x: x != 0)).select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    kind = dict(rows.dtypes)["id"]
+    # Some three tasks for each core, where there are rows enough.
+    wanted = math.ceil((math.sqrt(1 + 24 * rows.sparkSession.sparkContext.defaultParallelism) - 1) / 2)
+    groups = max(1, math.ceil(n * (width or 1) / GROUP_NUMBERS), min(wanted, math.ceil(n / 1000)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(some) if (some := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        ids, x = table.column("id").combine_chunks(), _matrix(table.column("vector").combine_chunks())
+        cells, groups = (table.column(c).to_numpy() for c in ("cell", "group"))
+        for cell in np.unique(cells):
+            own = np.flatnonzero(cells == cell)
+            low = groups[own] == groups[own].min()
+            # A cell of two groups has rows of both, but for empty ones; a group alone meets itself in the cell (k, k).
+            k = int((math.isqrt(8 * int(cell) + 1) - 1) // 2)
+            same = int(cell) == k * (k + 1) // 2 + k
+            if not same and low.all():
+                continue
+            sides = [own, own] if same else [own[low], own[~low]]
+            links, best = _counted(x[sides[0]], x[sides[1]], threshold, same)
+            for side, n, cosine in zip(sides, links, best, strict=True):
+                has = n > 0
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(side[has])), pa.array(n[has]), pa.array(cosine[has])], ["id", "links", "best"])
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    high = F.greatest("group", "other").cast("long")
+    # The cells of two groups in a row: (0, 0), (0, 1), (1, 1), (0, 2) and so on.
+    dealt = dealt.select("id", "vector", "group", (F.shiftright(high * (high + 1), 1) + F.least("group", "other")).cast("int").alias("cell"))
+    met = dealt.repartitionById(groups * (groups + 1) // 2, "cell").mapInArrow(task, f"id {kind}, links long, best double")
+    return met.groupBy("id").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+
+
+def linked(vectors: DataFrame, threshold: float = 0.85, recall: float | None = None) -> DataFrame:
+    """id, class, links (other classes with a similar vector), best (the greatest cosine to one of them). Without a
+    ``recall`` no link is missed; with one, the index proposes the pairs."""
     own = written(classes(vectors), "classes")
     firsts = vectors.join(own.where("id = class").select("id"), "id", "left_semi")
-    pairs = written(similar_pairs(firsts, threshold, recall), "similar")
-    both = pairs.select(F.col("a").alias("class"), "cosine").unionByName(pairs.select(F.col("b").alias("class"), "cosine"))
-    counted = both.groupBy("class").agg(F.count(F.lit(1)).alias("links"), F.max("cosine").alias("best"))
+    if recall is None:
+        counted = counted_links(firsts, threshold).withColumnRenamed("id", "class")
+    else:
+        pairs = written(similar_pairs(firsts, threshold, recall), "similar")
+        both = pairs.select(F.col("a").alias("class"), "cosine").unionByName(pairs.select(F.col("b").alias("class"), "cosine"))
+        counted = both.groupBy("class").agg(F.count(F.lit(1)).alias("links"), F.max("cosine").alias("best"))
     return own.join(counted, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "best")

@@ -32,11 +32,11 @@ def a51_any_parents(t):
     l AS (SELECT class, count(*) AS links, max(s) AS best FROM (SELECT a AS class, s FROM p UNION ALL SELECT b, s FROM p) GROUP BY class)
     SELECT id, class, coalesce(links, 0) AS links, round(best, 5) AS best FROM v JOIN c USING (x) LEFT JOIN l USING (class)""")
 def b48_similar(t):
-    """All vectors of all labels, and their versions rounded to quarters, joined with what is as similar as 0.85; an index
-    proposes, exact cosines decide. Of some thousand rows it is to miss none (a chance of 1 in 10,000 for each pair)."""
+    """All vectors of all labels, and their versions rounded to quarters, joined with what is as similar as 0.85: all
+    pairs, in blocks. Many versions are exactly as similar as that."""
     e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     rough = e.select((F.col("vec_id") + 1_000_000_000).alias("id"), F.transform("vector", lambda x: F.floor(x * 4 + 0.5) / 4).alias("vector"))
-    found = similarity.linked(e.withColumnRenamed("vec_id", "id").unionByName(rough), 0.85, 0.9999)
+    found = similarity.linked(e.withColumnRenamed("vec_id", "id").unionByName(rough), 0.85)
     return found.select("id", "class", "links", F.round("best", 5).alias("best"))
 
 

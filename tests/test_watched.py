@@ -55,6 +55,45 @@ def test_similar_vectors_are_found(spark):
     assert all(linked[i]["links"] == sum(firsts[i] in p for p in exact) for i in firsts)
 
 
+def test_no_similar_vector_is_missed(spark, monkeypatch):
+    """Vectors of quarters, many pairs of which are exactly as similar as the threshold; groups and blocks of a few rows."""
+    rng = np.random.default_rng(5)
+    made = []
+    for _ in range(300):
+        # 20 numbers that aren't 0, of which 17 are the next one's too: a cosine of 17/20.
+        at, first = rng.permutation(24), np.zeros(24)
+        first[at[:20]] = rng.choice([-0.25, 0.25], 20)
+        second = first.copy()
+        second[at[:3]], second[at[20:23]] = 0, 0.25
+        made += [first, second, np.where(np.arange(24) == at[5], 0, first), np.where(rng.random(24) < 0.2, 0, second)]
+    vectors = np.unique(made, axis=0)
+    whole = np.rint(vectors * 4).astype(int)
+    dot, squares = whole @ whole.T, (whole**2).sum(1)
+    # cosine >= 17/20, in whole numbers
+    links = (dot > 0) & (400 * dot**2 >= 289 * squares[:, None] * squares) & ~np.eye(len(whole), dtype=bool)
+    ties = (dot > 0) & (400 * dot**2 == 289 * squares[:, None] * squares)
+    assert ties.sum() > 20 and links.sum() > 500
+    monkeypatch.setattr(similarity, "GROUP_NUMBERS", 24 * 150)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    got = {r["id"]: r for r in similarity.linked(rows, 0.85).collect()}
+    assert {i: got[i]["links"] for i in got} == {i: int(links[i].sum()) for i in range(len(whole))}
+    cos = dot / np.sqrt(np.maximum(squares[:, None] * squares, 1))
+    assert all(abs(got[i]["best"] - cos[i][links[i]].max()) < 1e-12 if links[i].any() else got[i]["best"] is None for i in got)
+    assert similarity.linked(rows.limit(0), 0.85).count() == 0
+
+
+def test_counts_of_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 8))
+    cos = (unit := x / np.linalg.norm(x, axis=1)[:, None]) @ unit.T
+    links = (cos >= 0.5) & ~np.eye(100, dtype=bool)
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    (a, b), (p, q) = similarity._counted(x, x, 0.5, True)
+    assert (a + b == links.sum(1)).all() and np.allclose(np.maximum(p, q)[a + b > 0], np.where(links, cos, -2).max(1)[a + b > 0])
+    (a, b), _ = similarity._counted(x[:70], x[70:], 0.5, False)
+    assert (a == links[:70, 70:].sum(1)).all() and (b == links[:70, 70:].sum(0)).all()
+
+
 def plain_match(expected, actual, fits):
     """expected, actual: lists of (place, row). The greedy walk over classes of equal rows."""
     def classes(rows):
