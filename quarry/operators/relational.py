@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +26,17 @@ def with_count(parents: DataFrame, children: DataFrame, key: str, child_key: str
     return parents.join(n, key, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
+#: Rows that a task of ``by_sort`` has, about, of the longer side.
+TASK_ROWS = 1 << 19
+
+
+def by_sort(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """The join of two tables that both grow. Neither goes whole to every task, however narrow it is, and there are as
+    many tasks as rows ask for, so that each sorts as many on larger tables. Left rows without a key should be apart."""
+    n = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(max(left.count(), right.count()) / TASK_ROWS))
+    return left.repartition(n, left_key).join(right.repartition(n, right_key).hint("merge"), F.col(left_key) == F.col(right_key), how)
+
+
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row for each key: the greatest by the order. Combined before the shuffle."""
     rest = [c for c in df.columns if c != key]

@@ -40,7 +40,7 @@ def a24_first_actor(t):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
 def a29_without_jobs(t):
-    return t.orders.where("o_orderstatus = 'O'").join(t.lineitem.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return rel.by_sort(t.orders.where("o_orderstatus = 'O'"), t.lineitem.where("l_linenumber = 1"), "o_orderkey", "l_orderkey", "left_anti").select("o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey, count(l_orderkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY o_orderkey DESC LIMIT 20")

@@ -47,16 +47,19 @@ def a04_lookup(t):
     LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def a06_dataset(t):
     """Four joins to one row each."""
-    out = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = rel.by_sort(t.lineitem, t.orders, "l_orderkey", "o_orderkey", "left").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     out = out.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderdate", "c_name", "n_name", "r_name")
 
 
 @query("""SELECT l_partkey, count(*) AS total, count(*) FILTER (o_orderkey IS NOT NULL) AS listed FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_orderkey END AS page FROM lineitem) LEFT JOIN orders ON page = o_orderkey GROUP BY 1""")
 def a07_items_total(t):
-    """The total of a dataset counts items without a page (line 1), which its list leaves out; A16 is the total."""
-    items = t.lineitem.withColumn("page", F.when(F.col("l_linenumber") != 1, F.col("l_orderkey")))
-    return items.join(t.orders.select(F.col("o_orderkey").alias("page"), F.lit(1).alias("there")), "page", "left").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("total"), F.count("there").alias("listed"))
+    """The total of a dataset counts items without a page (line 1), which its list leaves out; A16 is the total. Orders are
+    many, if narrow, so they aren't sent to every task; items without a page, which would meet in one, aren't joined."""
+    items = t.lineitem.select("l_partkey", F.when(~F.col("l_linenumber").eqNullSafe(1), F.col("l_orderkey")).alias("page"))
+    found = rel.by_sort(items.where("page IS NOT NULL"), t.orders.select("o_orderkey"), "page", "o_orderkey", "left")
+    joined = found.select("l_partkey", F.col("o_orderkey").alias("there")).unionByName(items.where("page IS NULL").select("l_partkey", F.col("page").alias("there")))
+    return joined.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("total"), F.count("there").alias("listed"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
@@ -199,7 +202,7 @@ def a37_costs(t):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 def a36_no_data_pages(t):
     """Pages of all steps that were begun (not of the lowest priority) and have no item in the latest dataset (flag A)."""
-    return t.orders.where("o_orderpriority <> '5-LOW'").join(t.lineitem.where("l_returnflag = 'A'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+    return rel.by_sort(t.orders.where("o_orderpriority <> '5-LOW'"), t.lineitem.where("l_returnflag = 'A'"), "o_orderkey", "l_orderkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT n_nationkey, n_name, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_acctbal > 0) AS total FROM nation WHERE n_nationkey IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0 ORDER BY 1 LIMIT 10 OFFSET 2)")
@@ -290,5 +293,5 @@ def a70_update_any(t):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(o_orderpriority, 'none') AS step FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")
 def a71_fill_step(t):
     """Pages take over the step of the row that they belong to."""
-    filled = t.lineitem.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    filled = rel.by_sort(t.lineitem, t.orders.select("o_orderkey", "o_orderpriority"), "l_orderkey", "o_orderkey", "left")
     return filled.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("o_orderpriority", F.lit("none")).alias("step"))

@@ -68,3 +68,15 @@ def test_cut_entities_of_a_heading(spark, tmp_path):
 def test_cut_entities_of_a_page(spark, tmp_path):
     got, want = on_pages(spark, tmp_path, "b03_page_markdown", CUT)
     assert got == want
+
+
+def test_totals_of_items_without_broadcast(spark, tmp_path):
+    """Items on line 1, without a line or an order, orders that are missing or there twice; orders aren't sent to all tasks."""
+    pd.DataFrame({"l_partkey": [1, 1, 1, 2, 2, 2, None], "l_orderkey": [5, 5, 6, 7, 5, None, 6], "l_linenumber": [1, 2, 2, 3, None, 2, 1]}).astype("Int64").to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"o_orderkey": [5, 6, 6, None]}).astype("Int64").to_parquet(tmp_path / "orders.parquet")
+    got = catalogue.QUERIES["a07_items_total"](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert rows(got.toPandas().astype(object)) == rows(c.execute(catalogue.ORACLE_SQL["a07_items_total"]).df().astype(object))
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
