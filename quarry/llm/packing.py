@@ -32,21 +32,31 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+"
 
 
+def _latin_pattern() -> str:
+    """PATTERN for texts up to U+00FF, with their letters and numbers spelt out, for Python's own, faster matcher."""
+    letters, numbers = ("".join(regex.findall(rf"\p{{{k}}}", "".join(map(chr, range(256))))) for k in "LN")
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r\x20\x85\xa0{letters}{numbers}]+"
+
+
 class WordIds(dict):
     """Word of the tokenizer's pattern to its ids as little-endian bytes. The tokenizer drops white space and no merge
     crosses a word, so a text's ids are those of its words one after the other. New words are encoded many at a time:
-    the last id of each is of a kind that ends words."""
+    the last id of each is of a kind that ends words. Words up to U+00FF, being cut and lower-cased, need no more
+    of the tokenizer than its bytes and merges: ``plain`` is the same without the rest."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.latin_words, self.beyond = re.compile(_latin_pattern()).findall, re.compile("[^\x00-\xff]").search
 
     def split(self, text: str) -> list[str] | None:
         """The text's words; None where the library alone is to say."""
@@ -54,6 +64,8 @@ class WordIds(dict):
             return None
         if text.isascii():
             return self.ascii_words(text.lower())
+        if not self.beyond(text):
+            return self.latin_words(text.lower())
         if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
             return None
         return self.words(text.lower())
@@ -64,8 +76,14 @@ class WordIds(dict):
     def learn(self, words: list[str]) -> None:
         if len(self) + len(words) > WORDS_KEPT:
             self.clear()
+        further = [w for w in words if self.beyond(w)]
+        self.encode(self.plain, words if not further else [w for w in words if not self.beyond(w)])
+        if further:
+            self.encode(self.tokenizer, further)
+
+    def encode(self, tokenizer, words: list[str]) -> None:
         runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for run, e in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(run):
