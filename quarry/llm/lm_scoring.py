@@ -5,8 +5,9 @@ one of the end of a text, and one of all other words, seen or not; within a clas
 of the counts. The class factor is a softmax over hashed history features (the word before, the two before, and
 skips to the second and third before). It is trained by distributed gradient updates: in each round every
 partition takes AdaGrad steps over its own documents from the shared weights, and Spark averages the results by
-blocks of the table. Scoring gathers weight rows in numpy batches. Counts cover all training documents; words
-beyond the broadcast dictionary (``frequent`` words at most) get their counts by a join.
+blocks of the table. Scoring gathers weight rows in numpy batches. Texts are read twice, for the counts and for the
+numbers of their words, which are written; training and scoring read the numbers. Counts cover all training documents;
+words beyond the broadcast dictionary (``frequent`` words at most) get their counts by a join.
 
 Training documents: crc32(doc_id as text) mod 10 is not 0 (a null doc_id counts as an empty text). Null text: only
 the end. Repeated rows: counted and scored each. Empty table: no rows. No training documents: score = base_score. Very
@@ -121,62 +122,95 @@ def features(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Each token's classes, the largest at 0."""
-    z = weights[rows[0]] + prior
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
+    z = weights.take(rows.ravel(), axis=0).reshape(*rows.shape, -1).sum(axis=0)
+    z += prior
+    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]  # along the longer axis: a call for each class, not each token
     return z
 
 
 def log_classes(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """ln p(class | history) for each token."""
     z = logits(weights, prior, rows)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z - np.log(np.einsum("ij->i", np.exp(z)))[:, None]
 
 
-def runs(texts: Iterator[tuple], vocabulary: Vocabulary, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
-    """Documents in runs of about ``size`` tokens: (keys, ids, first, tokens by document)."""
-    get = vocabulary.numbers().get
-    keys, parts, held = [], [], 0
-    for key, text in texts:
-        parts.append(tokens_of(text))
-        keys.append(key)
-        held += len(parts[-1]) + 1
+def runs(parts: Iterator, size: int) -> Iterator[list]:
+    """Documents (sized, one element a token) in lists of about ``size`` tokens."""
+    run, held = [], 0
+    for p in parts:
+        run.append(p)
+        held += len(p)
         if held >= size:
-            yield keys, *_joined(parts, get), parts
-            keys, parts, held = [], [], 0
-    if parts:
-        yield keys, *_joined(parts, get), parts
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
-def _joined(parts: list, get) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
-    lengths = []
-    for p in parts:
-        ids.extend(map(get, p, repeat(0)))
-        ids.append(1)
-        lengths.append(len(p) + 1)
+def joined(run: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, first: of a run's arrays of numbers; and where each array begins."""
+    lengths = [len(p) for p in run]
     starts = np.cumsum([0, *lengths[:-1]])
-    return np.array(ids, np.int64), np.repeat(starts, lengths)
+    return np.concatenate(run), np.repeat(starts, lengths), starts
+
+
+def numbers(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_buffer(), np.int32) for x in column)
+
+
+def encoded(docs: DataFrame, vocabulary) -> DataFrame:
+    """doc_id, held_out; n_tokens, n_known and base (sum of scores) of the numbered words; ids: the words' numbers, 32
+    bits each, and the end's; the other words (rest) and how often the text has each (times)."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(vocabulary)
+        get, base, counted = v.numbers().get, np.where(np.arange(len(v.base)) > 0, v.base, 0.0), (v.counts > 0).astype(np.int64)
+        for b in rows:
+            at = 0
+            for words in runs(([*tokens_of(t.as_py()), None] for t in b.column(1)), 1 << 16):
+                parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in words]
+                for p in parts:
+                    p[-1] = 1
+                ids, first, starts = joined(parts)
+                rare: dict[int, dict[bytes, int]] = {}
+                others = np.flatnonzero(ids == 0)
+                for k, i in zip((np.searchsorted(starts, others, side="right") - 1).tolist(), (others - first[others]).tolist(), strict=True):
+                    mine, w = rare.get(k), words[k][i]
+                    if mine is None:
+                        mine = rare[k] = {}
+                    mine[w] = mine.get(w, 0) + 1
+                found = [rare.get(k, {}) for k in range(len(words))]
+                keys = b.slice(at, len(words))
+                at += len(words)
+                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(2), pa.array([len(p) for p in parts], pa.int64()), pa.array(np.add.reduceat(counted[ids], starts)), pa.array(np.add.reduceat(base[ids], starts)), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([list(f) for f in found], pa.list_(pa.binary())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "rest", "times"])
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids binary, rest array<binary>, times array<long>")
 
 
 def gradient_step(weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One AdaGrad step on a minibatch, in place, on the rows that it touches."""
     n, g = len(target), logits(weights, prior, rows)
     np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g /= np.einsum("ij->i", g)[:, None]
     g[np.arange(n), target] -= 1
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits, as many as ROWS needs, are sorted by radix
     flat = flat[order]
     at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    row, g = flat[at], np.add.reduceat(g[order % n], at, axis=0)
-    squares[row] += g * g
-    weights[row] -= rate * g / (np.sqrt(squares[row]) + 1e-4)
+    # Two classes are added at once, as the parts of a complex number: half the calls.
+    row, g = flat[at], np.add.reduceat(g.take(order % n, axis=0).view(np.complex64), at, axis=0).view(np.float32)
+    scale = squares.take(row, axis=0)
+    scale += g * g
+    squares[row] = scale
+    np.sqrt(scale, out=scale)
+    scale += 1e-4
+    g *= rate
+    g /= scale
+    weights[row] = weights.take(row, axis=0) - g
 
 
 def train(docs: DataFrame, vocabulary, rounds: int = 2, batch: int = 8192, rate: float = 0.15) -> np.ndarray:
-    """Weights (ROWS by CLASSES) after ``rounds`` averages; each round takes its share of the documents."""
+    """Weights (ROWS by CLASSES) after ``rounds`` averages; each round takes its share of the ``encoded`` documents."""
     spark = docs.sparkSession
     weights = np.zeros((ROWS, CLASSES), np.float32)
     for r in range(rounds):
@@ -185,8 +219,8 @@ def train(docs: DataFrame, vocabulary, rounds: int = 2, batch: int = 8192, rate:
         def batches(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             v, mine = _vocabulary(vocabulary), shared.value.copy()
             squares, seen = np.zeros_like(mine), 0
-            texts = ((None, t.as_py()) for b in rows for t in b.column(0))
-            for _, ids, first, _ in runs(texts, v, 1 << 16):
+            for run in runs((x for b in rows for x in numbers(b.column(0))), 1 << 16):
+                ids, first, _ = joined(run)
                 targets, feats = v.classes[ids], features(ids, first)
                 for a in range(0, len(ids), batch):
                     gradient_step(mine, squares, v.prior, feats[:, a : a + batch], targets[a : a + batch], rate)
@@ -195,7 +229,7 @@ def train(docs: DataFrame, vocabulary, rounds: int = 2, batch: int = 8192, rate:
                 n = ROWS // BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([mine[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(n)], pa.binary())], ["block", "tokens", "weights"])
 
-        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == r).select("text")
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == r).select("ids")
         parts = mine.mapInArrow(batches, "block int, tokens long, weights binary")
         # Every task sends each block once, so a block's rows grow with the input: they are averaged in SALTS groups first.
         some = parts.repartition("block", F.pmod(F.spark_partition_id(), F.lit(SALTS))).mapInArrow(averaged, parts.schema)
@@ -229,43 +263,32 @@ def score(docs: DataFrame, frequent: int = 1 << 18, rounds: int = 2) -> DataFram
     top = most_frequent(counts, "word", frequent).toPandas().sort_values(["n", "word"], ascending=[False, True])
     vocabulary = Vocabulary([bytes(w) for w in top["word"]], top["n"].to_numpy("int64"), total + ends, distinct + (ends > 0), ends)
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(train(training, shared, rounds) if ends else None)
+    texts = written(encoded(docs, shared).withColumn("row", F.monotonically_increasing_id()), "token-numbers")
+    weights = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")), shared, rounds) if ends else None)
     all_frequent = distinct <= frequent
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = _vocabulary(shared), weights.value
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "gain", "rest", "times"]
         for b in rows:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = zip(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True), (t.as_py() for t in part.column(1)), strict=True)
-                for keys, ids, first, words in runs(texts, v, 1 << 16):
-                    starts = np.flatnonzero(first == np.arange(len(first)))
-                    gain = np.zeros(len(ids))
-                    if w is not None:
-                        for a in range(0, len(ids), 8192):
-                            i = ids[a : a + 8192]
-                            c = v.classes[i]
-                            gain[a : a + 8192] = (log_classes(w, v.prior, _slice(ids, first, a))[np.arange(len(i)), c] - v.prior[c]) / math.log(10)
-                    known = v.counts[ids] > 0
-                    base = np.where(ids > 0, v.base[ids], 0.0)
-                    sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, gain)]
-                    rare: dict[int, Counter] = {}
-                    others = np.flatnonzero(ids == 0)
-                    for k, i in zip((np.searchsorted(starts, others, side="right") - 1).tolist(), (others - first[others]).tolist(), strict=True):
-                        rare.setdefault(k, Counter())[words[k][i]] += 1
-                    rest = [list(rare.get(k, ())) for k in range(len(words))]
-                    times = [list(rare[k].values()) if k in rare else [] for k in range(len(words))]
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([len(p) + 1 for p in words], pa.int64()), *map(pa.array, sums), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names)
-
-    scored = docs.select("doc_id", "text", "held_out").mapInArrow(batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, rest array<binary>, times array<long>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    part = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+            gains = [np.empty(0)]
+            for run in runs(numbers(b.column(0)), 1 << 16):
+                ids, first, starts = joined(run)
+                gain = np.zeros(len(ids))
+                if w is not None:
+                    for a in range(0, len(ids), 8192):
+                        c = v.classes[ids[a : a + 8192]]
+                        gain[a : a + 8192] = (log_classes(w, v.prior, _slice(ids, first, a))[np.arange(len(c)), c] - v.prior[c]) / math.log(10)
+                gains.append(np.add.reduceat(gain, starts))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(gains))], [*b.schema.names[1:], "gain"])
+
+    sums = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+    scored = written(texts.select("ids", *sums).mapInArrow(batches, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double"), "scored")
+    part = texts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     smooth = F.log10((F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) / F.lit(vocabulary.mass))
     found = part.join(counts, "word", "left") if not all_frequent else part.withColumn("n", F.lit(None).cast("long"))
     rest = found.groupBy("row").agg(F.sum(F.col("times") * smooth).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest", "times").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total + ends).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return scored.join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total + ends).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
 
 
 def _slice(ids: np.ndarray, first: np.ndarray, a: int) -> np.ndarray:

@@ -573,6 +573,36 @@ def test_maximum_entropy_beats_its_base(spark):
     assert got[0] > got[1]
 
 
+def test_maximum_entropy_reads_each_text_twice(spark, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(t):
+        seen.add(1)
+        return t
+
+    lm_scoring.score(docs.withColumn("text", F.udf(passed)("text")), frequent=40).collect()
+    assert 0 < seen.value <= 2 * len(ROWS)  # for the counts and for the numbers; training and scoring read the numbers
+
+
+@pytest.mark.parametrize("kinds", [3, 50_000])
+def test_a_gradient_step(kinds):
+    g = np.random.default_rng(3)
+    rows, target = g.integers(0, kinds, (lm_scoring.FAMILIES, 500)), g.integers(0, lm_scoring.CLASSES, 500)
+    weights, squares, prior = (g.normal(size=n).astype(np.float32) for n in ((lm_scoring.ROWS, lm_scoring.CLASSES), (lm_scoring.ROWS, lm_scoring.CLASSES), lm_scoring.CLASSES))
+    squares = squares**2 + 1
+    slope = np.zeros(weights.shape)
+    for t in range(500):
+        p = np.exp(prior + weights[rows[:, t]].astype(float).sum(axis=0))
+        p /= p.sum()
+        p[target[t]] -= 1
+        for r in rows[:, t]:
+            slope[r] += p
+    want_squares = squares + slope**2
+    want = weights - 0.15 * slope / (np.sqrt(want_squares) + 1e-4)
+    lm_scoring.gradient_step(weights, squares, prior, rows, target, 0.15)
+    assert np.allclose(squares, want_squares, rtol=1e-4) and np.allclose(weights, want, atol=1e-4)
+
+
 def test_class_probabilities_sum_to_one():
     g = np.random.default_rng(2)
     w = g.normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32)
