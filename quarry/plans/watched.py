@@ -34,8 +34,9 @@ def a51_any_parents(t):
 def b48_similar(t):
     """All vectors of all labels, and their versions rounded to quarters, joined with what is as similar as 0.85: all
     pairs, in blocks. Many versions are exactly as similar as that."""
-    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    rough = e.select((F.col("vec_id") + 1_000_000_000).alias("id"), F.transform("vector", lambda x: F.floor(x * 4 + 0.5) / 4).alias("vector"))
+    e = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    # Quarters are floats too, and take half the room of doubles.
+    rough = e.select((F.col("vec_id") + 1_000_000_000).alias("id"), F.transform("vector", lambda x: F.floor(x.cast("double") * 4 + 0.5) / 4).cast(e.schema["vector"].dataType).alias("vector"))
     found = similarity.linked(e.withColumnRenamed("vec_id", "id").unionByName(rough), 0.85)
     return found.select("id", "class", "links", F.round("best", 5).alias("best"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,6 +95,64 @@ def test_counts_of_blocks(monkeypatch):
     assert (a == links[:70, 70:].sum(1)).all() and (b == links[:70, 70:].sum(0)).all()
 
 
+def test_pairs_of_all_blocks_take_little_more_than_their_products():
+    """Time of the processor, all threads added up. The bare products are in doubles, which the counts aren't."""
+    x = np.random.default_rng(7).normal(size=(6000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    took = {"counts": [], "products": []}
+    for _ in range(3):
+        began = time.process_time()
+        similarity._counted(x, x, 0.85, True)
+        took["counts"].append(time.process_time() - began)
+        began = time.process_time()
+        for i in range(0, 6000, 500):
+            for j in range(i, 6000, 500):
+                unit[i : i + 500] @ unit[j : j + 500].T
+        took["products"].append(time.process_time() - began)
+    assert min(took["counts"]) < 4 * min(took["products"])
+
+
+def test_heads_are_bounds():
+    rng = np.random.default_rng(8)
+    for scale in (np.ones(64), 0.8 ** np.arange(64)):
+        x = [rng.normal(size=(700, 64)) * scale for _ in range(2)]
+        turned = similarity._turned(x, [similarity._sums(v, v) for v in x])
+        cos = (x[0] / np.linalg.norm(x[0], axis=1)[:, None]) @ (x[1] / np.linalg.norm(x[1], axis=1)[:, None]).T
+        assert np.abs(turned[0] @ turned[1].T - cos).max() < 72 * 2.0**-24
+        heads = similarity._heads(turned, np.float32(0.85))
+        assert heads[0].shape[1] <= 37 and (heads[0] @ heads[1].T > cos - 72 * 2.0**-24).all()
+
+
+def test_near_the_threshold_the_cosine_decides(monkeypatch):
+    """Pairs that differ from the threshold by less than single precision tells, and rows whose best two others do."""
+    monkeypatch.setattr(similarity, "PENDING", 100)
+    monkeypatch.setattr(similarity, "EXACT", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(1)[:, None] * x
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    off = np.concatenate([s * 10.0 ** -rng.uniform(4, 12, 100) for s in (1, -1)])
+    angle = np.arccos(0.85 + off)[:, None]
+    y = np.concatenate([x * np.cos(angle) + other * np.sin(angle), x * np.cos(0.3) + other * np.sin(0.3), x * np.cos(0.3 + np.abs(off)[:, None]) + other * np.sin(0.3 + np.abs(off)[:, None])])
+    cos = np.array([similarity._cosines(np.repeat(v[None], len(y), 0), y) for v in x])
+    for rows in (1, 1000):
+        monkeypatch.setattr(similarity, "TURNED", rows)
+        (a, b), (p, q) = similarity._counted(x, y, 0.85, False)
+        assert (a == (cos >= 0.85).sum(1)).all() and (b == (cos >= 0.85).sum(0)).all()
+        assert (p == cos.max(1)).all() and (q[b > 0] == cos.max(0)[b > 0]).all()
+    assert (cos.diagonal()[:100] >= 0.85).all() and (cos.diagonal()[100:] < 0.85).all()
+
+
+def test_numbers_that_are_not_finite_leave_other_rows_alone(spark):
+    rows = [(1, [1.0, 0.1, 0.0]), (2, [1.0, 0.2, 0.0]), (3, [float("nan"), 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0]), (5, [0.0, 0.0, 0.0]), (6, None), (7, [0.0, 0.0, 1.0]), (8, [1.0, 0.1, 0.0])]
+    for kind in ("float", "double"):
+        got = {r["id"]: r for r in similarity.linked(spark.createDataFrame(rows, f"id long, vector array<{kind}>"), 0.85).collect()}
+        assert {i: (r["class"], r["links"]) for i, r in got.items()} == {1: (1, 1), 2: (2, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (1, 1)}
+        assert all(abs(got[i]["best"] - 1.02 / (1.01 * 1.04) ** 0.5) < 1e-7 for i in (1, 2, 8)) and all(got[i]["best"] is None for i in (3, 4, 5, 6, 7))
+
+
 def plain_match(expected, actual, fits):
     """expected, actual: lists of (place, row). The greedy walk over classes of equal rows."""
     def classes(rows):
