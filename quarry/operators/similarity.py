@@ -98,8 +98,10 @@ def firsts(vectors: DataFrame) -> DataFrame:
 
 
 def _places(flags: np.ndarray) -> np.ndarray:
-    """Places of true flags, few of many: by words of eight, then within these."""
+    """Places of true flags; where they are few, by words of eight, then within these."""
     words = np.flatnonzero(flags.view(np.uint64) != 0)
+    if len(words) * 16 > len(flags):
+        return np.flatnonzero(flags)
     r, c = np.nonzero(flags.reshape(-1, 8)[words])
     return words[r] * 8 + c
 
@@ -172,7 +174,7 @@ def _counted(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tupl
             for side, rows in ((0, p), (1, q)):
                 np.maximum.at(best[side], rows[link], cosine[link])
         for side in (0, 1):
-            np.add.at(links[side], at[side][held], 1)
+            np.add.at(links[side], at[side] if held.all() else at[side][held], 1)
 
     products, flags = np.empty(BLOCK * BLOCK, np.float32), np.zeros(-(-BLOCK * BLOCK // 8) * 8, bool)
 
@@ -197,11 +199,15 @@ def _counted(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tupl
                 found = reached(turned, i, j)
             if not len(found):
                 continue
-            r, c = np.divmod(found, min(BLOCK, len(y) - j))
-            r, c = i + r, j + c
-            value = products[found] if whole else np.einsum("ij,ij->i", turned[0][r], turned[-1][c])
-            near = value >= floor
-            pending.append((r[near], c[near], value[near]))
+            # Quicker than divmod.
+            r = found // (n := min(BLOCK, len(y) - j))
+            r, c = i + r, j + found - r * n
+            if whole:
+                pending.append((r, c, products[found]))
+            else:
+                value = np.einsum("ij,ij->i", turned[0][r], turned[-1][c])
+                near = value >= floor
+                pending.append((r[near], c[near], value[near]))
             waiting += len(pending[-1][2])
             if waiting >= PENDING:
                 settle()
